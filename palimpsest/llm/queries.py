@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.bpe import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.urlfilter import judge
 
@@ -32,6 +38,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_bpe": op3_bpe,
         "op5_url_filters": op5_url_filters,
         "op6_mix_sources": op6_mix_sources,
         "op7_quality_rules": op7_quality_rules,
