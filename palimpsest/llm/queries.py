@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.warc import derive, responses
+
+    return derive(responses(_table(spark, sf_dir, "pages"))).withColumn("block", F.col("block").cast("string"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.bpe import round_trip
 
@@ -36,12 +42,28 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_token_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.slots import ordered
+
+    out = ordered(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "seq", "n_tokens", "slot", "shard", "offset", F.sha2("record", 256).alias("record_sha256"))
+
+
 def queries() -> dict:
     return {
+        "op2_warc": op2_warc,
         "op3_bpe": op3_bpe,
         "op5_url_filters": op5_url_filters,
         "op6_mix_sources": op6_mix_sources,
         "op7_quality_rules": op7_quality_rules,
+        "op9_nearest": op9_nearest,
+        "op10_token_slots": op10_token_slots,
     }
 
 
