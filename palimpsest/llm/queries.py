@@ -10,6 +10,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.langid import fit, held_out, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    out = identify(docs.select("doc_id", "text"), fit(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.warc import derive, responses
 
@@ -57,6 +65,7 @@ def op10_token_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op2_warc": op2_warc,
         "op3_bpe": op3_bpe,
         "op5_url_filters": op5_url_filters,
