@@ -52,7 +52,9 @@ def grams(url: Column) -> Column:
     """For each character of the url, the classes of it and of the three before it as one number below 32^4."""
     plain = F.translate(F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER), "123456789", "0" * 9)
     classes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(F.lit(CLASSES), c))
-    return F.transform(classes, lambda c, i: ((_at(classes, i - 3) * A + _at(classes, i - 2)) * A + _at(classes, i - 1)) * A + c)
+    # Bound to a variable by way of an array of one: named in the inner function as it is, it would be worked out for each character.
+    bound = lambda cs: F.transform(cs, lambda c, i: ((_at(cs, i - 3) * A + _at(cs, i - 2)) * A + _at(cs, i - 1)) * A + c)
+    return F.flatten(F.transform(F.array(classes), bound))
 
 
 def _at(values: Column, i: Column) -> Column:
