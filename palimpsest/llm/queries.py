@@ -50,6 +50,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.substr import dedup
+
+    out = dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.ann import nearest
 
@@ -71,6 +78,7 @@ def queries() -> dict:
         "op5_url_filters": op5_url_filters,
         "op6_mix_sources": op6_mix_sources,
         "op7_quality_rules": op7_quality_rules,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_nearest": op9_nearest,
         "op10_token_slots": op10_token_slots,
     }
