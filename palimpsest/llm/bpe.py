@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Rows that one recursive query may make; characters of text held as pieces at once; pieces whose ids are kept.
-STEP_ROWS, BLOCK_CHARS, KEPT_PIECES = 2_000_000, 3_000_000, 300_000
+STEP_ROWS, BLOCK_CHARS, KEPT_PIECES = 2_000_000, 4_000_000, 1_000_000
 LONG = 96
 DUCKDB_MEMORY = "200MB"
 
@@ -136,22 +136,19 @@ class Codec:
         """Puts the ids of pieces into kept."""
         if len(self.kept) + len(pieces) > KEPT_PIECES:
             self.kept.clear()
-        new = []
-        for p in pieces - self.kept.keys():
-            b = p.encode("utf-8", "surrogatepass")
-            if (r := self.ranks.get(b)) is not None:
-                self.kept[p] = r.to_bytes(4, "little")
-            else:
-                new.append((p, b))
-        new.sort(key=lambda x: len(x[1]))
-        rows, batch = 0, []
-        for p, b in itertools.chain(new, [("", b"")]):
-            if batch and (not b or rows + len(b) ** 2 // 2 > STEP_ROWS or len(b) > LONG >= len(batch[0][1])):
-                for at, ids in self._contracted([x for _, x in batch]):
-                    self.kept[batch[at][0]] = ids
-                rows, batch = 0, []
-            rows += len(b) ** 2 // 2
-            batch.append((p, b))
+        new = [p for p in pieces - self.kept.keys()]
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        lens = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole = np.fromiter((self.ranks.get(b, -1) for b in raw), np.int64, len(raw))
+        for i in np.flatnonzero(whole >= 0).tolist():
+            self.kept[new[i]] = int(whole[i]).to_bytes(4, "little")
+        for own in (np.flatnonzero((whole < 0) & (lens <= LONG)), np.flatnonzero((whole < 0) & (lens > LONG))):
+            rows = np.cumsum(lens[own] ** 2 // 2) // STEP_ROWS
+            for batch in np.split(own, np.flatnonzero(np.diff(rows)) + 1):
+                if len(batch):
+                    order = batch.tolist()
+                    for at, ids in self._contracted([raw[i] for i in order]):
+                        self.kept[new[order[at]]] = ids
 
     def blocks(self, texts: list[str | None]) -> Iterator[list[tuple[int, bytes]]]:
         """Lists of (index of the text, ids of the next part of it), in order; each text has at least one part."""

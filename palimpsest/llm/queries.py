@@ -30,6 +30,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.urlfilter import judge
 
@@ -75,6 +81,7 @@ def queries() -> dict:
         "op1_language_id": op1_language_id,
         "op2_warc": op2_warc,
         "op3_bpe": op3_bpe,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_url_filters": op5_url_filters,
         "op6_mix_sources": op6_mix_sources,
         "op7_quality_rules": op7_quality_rules,
