@@ -1,9 +1,254 @@
-"""Catalogue of queries over the driver's tables and their SQL."""
+"""The catalogue of queries over the driver's tables, and the SQL that says the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import bloom, codec
+from palimpsest.operators import index, recovery, resolve
+from palimpsest.schema import status_name
+
+RUN_EVENTS = 500
+BLOOM_BITS, BLOOM_HASHES = 480, 7
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log over events: users are keys, errors delete, 500 events are a run."""
+    is_error = F.col("event_type") == "error"
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("key"), (F.col("event_id") + 1).alias("seq"), F.when(is_error, 0).otherwise(1).alias("op"),
+        F.when(~is_error, F.col("props")).alias("value"), F.expr(f"event_id DIV {RUN_EVENTS}").alias("run"),
+    )
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """Result columns: k and v, as key and value are words of SQL."""
+    return df.withColumnsRenamed({"key": "k", "value": "v"})
+
+
+def _over_log(f):
+    return lambda spark, sf_dir: _named(f(log(spark, sf_dir)))
+
+
+def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = spark.range(200).select(F.col("id").cast("string").alias("key"))
+    return _named(resolve.get_many(log(spark, sf_dir), keys))
+
+
+def index_log(spark: SparkSession, sf_dir: str, shift: int = 0, deleted: str | None = None) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("primary", F.col("o_custkey") + shift)
+    return index.entries(orders, "o_orderpriority", "primary", "o_orderkey", deleted)
+
+
+def index_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return index.lookup(index_log(spark, sf_dir), customers, "c_custkey").select("secondary", F.col("primary").alias("prim"), "c_name")
+
+
+def index_phantom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    return index.phantoms(index_log(spark, sf_dir, 1000), customers, "c_custkey").select("secondary", F.col("primary").alias("prim"))
+
+
+def index_lookup_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.lookup_primary(index_log(spark, sf_dir)).select("secondary", F.col("primary").alias("prim"))
+
+
+def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.lookup_primary(index_log(spark, sf_dir, deleted="o_orderstatus = 'P'")).select("secondary", F.col("primary").alias("prim"))
+
+
+def index_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = index.multi_entries(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey", "o_orderkey")
+    return resolve.live(entries).groupBy(F.col("key.secondary").alias("secondary")).agg(F.count("*").alias("entries"), F.max("seq").alias("last_seq"))
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
+    return part.select(F.col("p_partkey").alias("id"), codec.joined(F.col("p_name"), F.col("p_type"), F.format_string("%.2f", "p_retailprice")).alias("encoded"))
+
+
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("encoded")
+    return _encoded(spark, sf_dir).select("id", "encoded", codec.field(e, 0).alias("name"), codec.field(e, 1).alias("category"), codec.field(e, 2).alias("price"), codec.field(e, 3).alias("missing"))
+
+
+def find_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("encoded")
+    out = _encoded(spark, sf_dir).select("id", codec.field(e, 0).alias("name"), codec.field(e, 1).alias("category"))
+    return out.where(F.col("category") == "ECONOMY")
+
+
+def wal_valid_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose stored checksum is off by one, as a torn write leaves them, every 7777th; then the prefix before the first."""
+    return _named(recovery.valid_prefix(log(spark, sf_dir), F.col("seq") % 7777 == 0).select("key", "seq", "op"))
+
+
+def wal_crc_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same prefix, found by checksums: those of every 7777th record are off by one."""
+    rows = log(spark, sf_dir).select(F.col("key").cast("binary").alias("key"), "seq", "op", F.col("value").cast("binary").alias("value"))
+    rows = recovery.with_crc(rows).withColumn("crc", F.col("crc") + F.when(F.col("seq") % 7777 == 0, 1).otherwise(0))
+    return recovery.valid_prefix(rows, recovery.is_bad()).select(F.col("key").cast("string").alias("k"), "seq", "op")
+
+
+def crc32_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = log(spark, sf_dir).select(F.col("key").cast("binary").alias("key"), "seq", "op", F.col("value").cast("binary").alias("value"))
+    return recovery.with_crc(rows).select("seq", "crc")
+
+
+def run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = log(spark, sf_dir)
+    return rows.select("seq", F.lower(F.hex(codec.run_record(F.col("op"), F.col("seq"), F.col("key").cast("binary"), F.col("value").cast("binary")))).alias("record"))
+
+
+def bloom_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(bloom.with_hashes(log(spark, sf_dir).select("key").distinct()))
+
+
+def bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom.build(log(spark, sf_dir).where("seq <= 60").select("key").distinct(), BLOOM_BITS, BLOOM_HASHES)
+
+
+def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = log(spark, sf_dir)
+    bits = bloom.build(every.where("seq <= 60").select("key").distinct(), BLOOM_BITS, BLOOM_HASHES)
+    return _named(bloom.probe(every.select("key").distinct(), bits, BLOOM_BITS, BLOOM_HASHES))
+
+
+def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = [(1, 0.01), (100, 0.01), (500, 0.01), (1000, 0.01), (10_000, 0.01), (1_000_000, 0.001)]
+    return spark.createDataFrame([(n, p, *bloom.sizing(n, p)) for n, p in cases], "n long, fpr double, bits long, hashes long")
+
+
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes = spark.createDataFrame([("1", 100), ("1", 5000), ("2", 700), ("3", 9000), ("149", 10), ("99999", 9000)], "key string, at long")
+    found = resolve.as_of_join(probes, log(spark, sf_dir))
+    return _named(found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("seq", "op")}))
+
+
+def live_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = resolve.live(log(spark, sf_dir).select("key", "seq", "op", F.lit(None).cast("string").alias("value")))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), "c_nationkey", "c_acctbal")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    per = live.join(customers, "key").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("total"))
+    return per.join(nations, "c_nationkey").select("n_name", "n", F.round("total", 2).alias("balance"))
+
+
+CSV_LINES = ("id,name,category,price", "P001,a,b,1.5", "P002,,b,2", "P003,a,,b,3,x", "", ",P004,n,c,9")
+
+
+def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame([(i + 1, x + "\r\n" * (i % 2)) for i, x in enumerate(CSV_LINES)], "line_no int, line string")
+    return codec.csv_rows(lines).where("status = 'loaded'").drop("status")
+
+
+def status_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(-1, 9).select("id", status_name(F.col("id")).alias("name"))
+
+
+def byte_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys by unsigned bytes, a prefix before what it begins: ranks of part names cut at different lengths."""
+    keys = table(spark, sf_dir, "part").select(F.explode(F.array("p_name", F.substring("p_name", 1, 3), F.lit(""))).alias("s")).distinct()
+    k = F.encode("s", "UTF-8")
+    return keys.select("s", (k < F.encode(F.lit("m"), "UTF-8")).alias("below_m"), (k == F.encode(F.lit(""), "UTF-8")).alias("is_empty"), F.length(k).cast("long").alias("n_bytes"))
+
+
+def list_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.live(log(spark, sf_dir)).agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
+def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live view once more, by a streaming aggregate over the file source."""
+    import uuid
+
+    from palimpsest.streaming import ingest
+
+    events = table(spark, sf_dir, "events")
+    is_error = F.col("event_type") == "error"
+    # A glob that matches this table only: the file source takes a folder or a pattern, and the table may be a single file.
+    rows = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]").select(
+        F.col("user_id").cast("string").alias("key"), (F.col("event_id") + 1).alias("seq"), F.when(is_error, 0).otherwise(1).alias("op"), F.when(~is_error, F.col("props")).alias("value")
+    )
+    name = f"live_{uuid.uuid4().hex}"
+    ingest.into_table(ingest.live_state(rows), name, f"{shared(spark)}/stream-{name}").awaitTermination()
+    return _named(ingest.live_rows(spark.table(name)))
+
+
+def store_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live view once more, through a store: three batches, a compaction, then a scan."""
+    import uuid
+
+    from palimpsest.sources.store import Store
+
+    store = Store.open(spark, f"{shared(spark)}/store-{uuid.uuid4().hex}")
+    rows = log(spark, sf_dir)
+    last = rows.agg(F.max("seq")).collect()[0][0] or 0
+    for i in range(3):
+        store.write(rows.where((F.col("seq") > last * i // 3) & (F.col("seq") <= last * (i + 1) // 3)), order="seq")
+    store.compact()
+    return resolve.live(store.log()).select(F.col("key").cast("string").alias("k"), "seq", F.col("value").cast("string").alias("v"))
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where none is set."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        spark.conf.set("spark.checkpoint.dir", base := "file://" + tempfile.mkdtemp(prefix="palimpsest-"))
+    return base
 
 
 def queries() -> dict:
-    return {}
+    return {
+        "get_raw": _over_log(resolve.latest),
+        "get": _over_log(lambda x: resolve.get(x, "42")),
+        "live": _over_log(resolve.live),
+        "tombstones": _over_log(resolve.tombstones),
+        "multi_get": multi_get,
+        "snapshot_5000": _over_log(lambda x: resolve.snapshot(x, 5000)),
+        "snapshot_diff": _over_log(lambda x: resolve.difference(x, 3000, 7000)),
+        "iter_all": _over_log(lambda x: resolve.versions(x).drop("run")),
+        "version_counts": _over_log(resolve.counts),
+        "flush_runs": _over_log(resolve.flush),
+        "run_meta": _over_log(resolve.run_meta),
+        "run_scan": _over_log(lambda x: resolve.flush(x.where("run = 3")).drop("run")),
+        "compact": _over_log(lambda x: resolve.compact(resolve.flush(x))),
+        "compact_stats": _over_log(lambda x: resolve.compact_stats(resolve.flush(x))),
+        "logical_size": _over_log(resolve.logical_size),
+        "index_get": index_get,
+        "index_phantom": index_phantom,
+        "index_lookup_primary": index_lookup_primary,
+        "index_delete": index_delete,
+        "index_multi": index_multi,
+        "codec_roundtrip": codec_roundtrip,
+        "find_category": find_category,
+        "range_scan": _over_log(lambda x: resolve.key_range(x, "10", "12")),
+        "list_count": list_count,
+        "csv_load": csv_load,
+        "wal_valid_prefix": wal_valid_prefix,
+        "wal_crc_prefix": wal_crc_prefix,
+        "crc32_record": crc32_record,
+        "run_record": run_record,
+        "bloom_hash": bloom_hash,
+        "bloom_build": bloom_build,
+        "bloom_probe": bloom_probe,
+        "bloom_sizing": bloom_sizing,
+        "as_of_join": as_of_join,
+        "live_by_nation": live_by_nation,
+        "status_names": status_names,
+        "byte_order": byte_order,
+        "stream_live": stream_live,
+        "store_live": store_live,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from palimpsest.plans import oracles
+
+    return oracles.SQL
