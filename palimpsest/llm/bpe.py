@@ -136,7 +136,7 @@ class Codec:
         """Puts the ids of pieces into kept."""
         if len(self.kept) + len(pieces) > KEPT_PIECES:
             self.kept.clear()
-        new = [p for p in pieces - self.kept.keys()]
+        new = [p for p in pieces if p not in self.kept]
         raw = [p.encode("utf-8", "surrogatepass") for p in new]
         lens = np.fromiter(map(len, raw), np.int64, len(raw))
         whole = np.fromiter((self.ranks.get(b, -1) for b in raw), np.int64, len(raw))
