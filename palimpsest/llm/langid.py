@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Language families by ISO 639-1 code.
 FAMILIES = {
@@ -240,9 +241,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score; columns of those names are replaced."""
     names = ("lang_pred", "score")
-    kept = [c for c in docs.columns if c not in names]
+    schema = T.StructType([f for f in docs.schema if f.name not in names]).add("lang_pred", "string").add("score", "double")
+    kept = schema.names[:-2]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a table of D rows and a column a classifier
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -250,4 +251,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             langs, scores = sent.value.predict(texts) if sent.value else (["und"] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_pydict({c: b.column(c) for c in kept} | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.drop(*names).mapInArrow(run, schema)

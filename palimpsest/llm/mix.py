@@ -58,16 +58,15 @@ def rates(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BU
 
 
 def with_copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """docs plus mix_size, mix_source_size, mix_target and mix_copies: how often the mix takes the document."""
-    sized = docs.withColumn("mix_size", word_count(F.col("text")))
-    per = stored(rates(sized.select("source", F.col("mix_size").alias("size")), weights, budget, most), "mix-rates")
-    per = per.select(*[F.col(c).alias(f"mix_{c}") for c in per.columns])
-    out = sized.join(small_side(per), F.col("source").eqNullSafe(F.col("mix_source")), "left")
-    extra = (draw(F.col("doc_id"), F.col("text"), seed) < F.col("mix_rate") - F.floor("mix_rate")).cast("int")
-    return out.withColumn("mix_copies", (F.floor("mix_rate") + extra).cast("int")).drop("mix_source", "mix_rate")
+    """doc (the row of docs, whatever its columns are called), size, source_size, target and copies: how often it is taken."""
+    sized = docs.select(F.struct("*").alias("doc"), word_count(F.col("text")).alias("size"))
+    per = stored(rates(sized.select(F.col("doc.source").alias("source"), "size"), weights, budget, most), "mix-rates")
+    out = sized.join(small_side(per), F.col("doc.source").eqNullSafe(F.col("source")), "left")
+    extra = (draw(F.col("doc.doc_id"), F.col("doc.text"), seed) < F.col("rate") - F.floor("rate")).cast("int")
+    return out.select("doc", "size", "source_size", "target", (F.floor("rate") + extra).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; columns as in docs."""
-    out = with_copies(docs, **how).where(F.col("mix_copies") > 0)
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    out = with_copies(docs, **how).where("copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("doc.*")

@@ -46,8 +46,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.mix import with_copies
 
     out = with_copies(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    size = F.col("mix_size")
-    return out.select("doc_id", size.alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (size * F.col("mix_copies")).alias("taken"))
+    return out.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
