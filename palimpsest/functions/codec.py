@@ -31,7 +31,7 @@ def tokens(text: Column, separators: str) -> Column:
     return F.filter(F.split(text, f"[{separators}]"), lambda x: x != "")
 
 
-def joined(*fields: Column, separator: str = "|") -> Column:
+def joined(*fields: Column | str, separator: str = "|") -> Column:
     return F.concat_ws(separator, *fields)
 
 
