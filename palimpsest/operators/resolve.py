@@ -11,14 +11,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.schema import DELETE, PUT
 
 
+#: Types of which an aggregate buffer can be updated in place, so that Spark aggregates by hash.
+_FIXED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def latest(log: DataFrame, by: Sequence[str] = ("key",), order: Sequence[str] = ("seq",), kept: Sequence[str] = ("seq", "op", "value")) -> DataFrame:
-    """The row with the largest order of each group, deletions included: a partial and a final aggregate, no window."""
-    top = F.max_by(F.struct(*kept), F.struct(*order) if len(order) > 1 else F.col(order[0])).alias("top")
-    return log.groupBy(*by).agg(top).select(*by, *[F.col(f"top.{c}").alias(c) for c in kept])
+    """The row with the largest order of each group, deletions included: a partial and a final aggregate, no window.
+
+    Columns of fixed width are aggregated one by one, which Spark does by hash. Others go through one struct, which it does by
+    a sort within each partition; either way only a row a key and partition is shuffled.
+    """
+    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    if len(order) == 1 and all(isinstance(log.schema[c].dataType, _FIXED) for c in kept):
+        return log.groupBy(*by).agg(*[F.max_by(c, at).alias(c) for c in kept])
+    return log.groupBy(*by).agg(F.max_by(F.struct(*kept), at).alias("top")).select(*by, *[F.col(f"top.{c}").alias(c) for c in kept])
 
 
 def live(log: DataFrame) -> DataFrame:

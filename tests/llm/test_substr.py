@@ -61,8 +61,17 @@ def test_packed_cells_come_back(values, data):
     assert substr.unpacked(raw[: at[cut]]).tolist() == values[:cut].tolist() and substr.unpacked(raw[at[cut] :]).tolist() == values[cut:].tolist()
 
 
-def test_words_are_forgotten_beyond_the_bound():
-    few = substr.Words(most=3)
-    words = [b"a", b"b", b"a", b"c", b"d", b"e"]
-    once = few.of(words)
-    assert (once == substr.Words().of(words)).all() and (once[0] == once[2]).all() and (few.of(words) == once).all()
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**24 - 1), max_size=30, unique=True), max_size=6))
+def test_parts_come_back_together(parts):
+    parts = [np.array(sorted(p), np.uint64) for p in parts]
+    values, sizes = substr.unpacked_each([substr.packed(p, np.zeros(1, np.int64))[0] if len(p) else b"" for p in parts])
+    assert sizes.tolist() == [len(p) for p in parts] and values.tolist() == [x for p in parts for x in p.tolist()]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.integers(1, 14))
+def test_windows_are_equal_where_their_words_are(words, n):
+    h = substr.rolled(substr.word_hashes([b"%d" % w for w in words])[:, 0] if words else np.zeros(0, np.uint64), n, substr._ODD[0])
+    windows = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+    assert len(h) == len(windows) and len(set(h.tolist())) == len(set(windows)) == len(set(zip(h.tolist(), windows, strict=True)))
