@@ -6,11 +6,11 @@
    samples that differ; pairs too far apart for any similarity near the threshold are dropped, at five deviations.
 3. Candidates are confirmed on the full sets. A link counts if 100 * intersection >= percent * union.
 Band buckets are not expanded into all pairs. First each member meets its bucket's smallest node, its nearest such pair
-first: near copies then are one component, and no pair within a component is looked at again. Buckets still of several
-components follow. Small ones give their pairs across components. Members of large ones, which a shared passage makes, are
-joined exactly on the rarest shingles that a similar pair can't avoid to share (a prefix of each set), first each with the
-shingle's smallest node again, then across the components that are left. So no bucket is capped, and what is lost is what
-banding loses: at a similarity of exactly 0.8 three pairs in a million, less above.
+first: most near copies then are one component, and no pair within a component is looked at again. Buckets still of several
+components follow. Those of a few members give their pairs across components. Larger ones that share members make a cluster;
+its nodes outside its largest component are a query set that goes against all its nodes in blocks of bounded size, where
+sketches are compared first and full sets then, and each query gives one link for each component that it finds. So no bucket
+is capped, and what is lost is what banding loses: at a similarity of exactly 0.8 three pairs in a million, less above.
 
 Lower case is of A-Z only. A text with fewer words than a shingle has the sequence of them all as its one shingle; without words,
 or null, its set is empty, it links with nothing and is its own component. The component's id is the smallest id in it, nulls
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
@@ -37,8 +37,8 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-#: Members of a bucket whose pairs across components are looked at directly.
-SMALL_BUCKET = 48
+#: Members of a bucket whose pairs across components are looked at directly; nodes in a block of a cluster.
+SMALL_BUCKET, BLOCK = 8, 256
 IDS_BROADCAST = 500_000
 
 _rng = np.random.default_rng(7)
@@ -114,18 +114,22 @@ def sketches(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node, set (ascending hashes) of nodes (set_key, first): the sets of those documents, worked out from their texts again."""
+    """node, set (ascending hashes) of nodes (node, set_key, first): worked out once more from the texts of those documents."""
     ids = small_side(nodes.select("first").distinct(), IDS_BROADCAST)
     own = docs.select(F.col("doc_id").cast("long").alias("first"), "text").join(ids, "first", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t.as_py(), n) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.string()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.string()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["set_key", "set"])
 
-    sets = own.select("text").mapInArrow(run, "node string, set array<long>").where("node IS NOT NULL")
-    wanted = nodes.select(F.col("set_key").alias("node"))
-    return sets.join(small_side(wanted, IDS_BROADCAST), "node", "left_semi").dropDuplicates(["node"])
+    sets = own.select("text").mapInArrow(run, "set_key string, set array<long>").where("set_key IS NOT NULL")
+    return sets.join(small_side(nodes.select("node", "set_key"), IDS_BROADCAST), "set_key").select("node", "set").dropDuplicates(["node"])
+
+
+def _apart(x: str, y: str) -> Column:
+    """The population count of two XORed sketch columns."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
 class _Linker:
@@ -136,42 +140,57 @@ class _Linker:
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
+    def marks(self, x: str) -> DataFrame:
+        return self.nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_s"))
+
+    def fits(self) -> Column:
+        """Whether sizes and sketches allow a and b to be similar."""
+        return (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * self.percent) & (_apart("a_s", "b_s") <= furthest(self.percent))
+
     def near(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) that sizes and sketches allow to be similar, with their distance."""
-        side = lambda x: self.nodes.select(F.col("set_key").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_s"))
-        out = pairs.join(side("a"), "a").join(side("b"), "b")
-        apart = sum((F.bit_count(F.get("a_s", F.lit(i)).bitwiseXOR(F.get("b_s", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-        fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * self.percent
-        return out.where(fits).withColumn("apart", apart).where(F.col("apart") <= furthest(self.percent)).select("a", "b", "apart")
+        """Those of pairs (a, b) that may be similar, with their distance."""
+        out = pairs.join(self.marks("a"), "a").join(self.marks("b"), "b")
+        return out.where(self.fits()).select("a", "b", _apart("a_s", "b_s").alias("apart"))
 
     def across(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose nodes aren't in one component yet."""
         if self.labels is None:
             return pairs
-        root = lambda x: self.labels.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+        root = lambda x: small_side(self.labels, IDS_BROADCAST).select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
         out = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
         return out.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).drop("a_root", "b_root")
 
+    def sets(self, named: DataFrame) -> DataFrame:
+        """node, set of the nodes in named (node), stored."""
+        named = stored(named.distinct(), "named")
+        return stored(full_sets(self.docs, stored(self.nodes.select("node", "set_key", "first").join(small_side(named, IDS_BROADCAST), "node", "left_semi"), "named-nodes"), self.n), "sets")
+
     def confirm(self, pairs: DataFrame) -> None:
         """Adds those of pairs (a, b) to the links that are similar on the full sets."""
         pairs = stored(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
             return
-        named = stored(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct(), "pair-nodes")
-        sets = stored(full_sets(self.docs, self.nodes.select("set_key", "first").join(small_side(named, IDS_BROADCAST), "set_key", "left_semi"), self.n), "sets")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
         both = F.size(F.array_intersect("a_set", "b_set"))
         similar = both * 100 >= (F.size("a_set") + F.size("b_set") - both) * self.percent
-        found = pairs.join(side("a"), "a").join(side("b"), "b").where(similar).select("a", "b")
-        self.links = stored(found if self.links is None else self.links.unionByName(found), "links")
+        self.add(pairs.join(side("a"), "a").join(side("b"), "b").where(similar).select("a", "b"))
+
+    def add(self, links: DataFrame) -> None:
+        self.links = stored(links if self.links is None else self.links.unionByName(links), "links")
         self.labels = stored(components(self.links), "labels")
 
     def labelled(self, rows: DataFrame) -> DataFrame:
-        """rows (key, node) with the root of node's component."""
+        """rows (node, ...) with the root of node's component."""
         if self.labels is None:
             return rows.withColumn("root", F.col("node"))
         return rows.join(small_side(self.labels, IDS_BROADCAST), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
+    def mixed(self, rows: DataFrame) -> DataFrame:
+        """rows (key, node) -> key, members: the keys whose members are of several components."""
+        keys = self.labelled(rows).groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+        return stored(keys.where("low <> high").select("key", "members"), "mixed")
+
 
 def _with_smallest(rows: DataFrame) -> DataFrame:
     """rows (key, node) -> pairs (a, b) of each bucket's smallest node and each other member."""
@@ -179,65 +198,82 @@ def _with_smallest(rows: DataFrame) -> DataFrame:
     return rows.join(small_side(smallest, IDS_BROADCAST), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """rows (key, node, root) -> key, members: the keys whose members are of several components."""
-    keys = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return stored(keys.where("low <> high").select("key", "members"), "mixed")
-
-
-def _pairs_across(rows: DataFrame) -> DataFrame:
-    """rows (key, node, root) -> the pairs of a key's nodes whose roots differ."""
-    left = rows.select("key", F.col("node").alias("a"), F.col("root").alias("ar"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("root").alias("br"))
-    return left.join(right, "key").where("a < b AND ar <> br").select("a", "b").distinct()
-
-
-def rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """sets (node, set) -> key, node: of each set, so many of its rarest shingles that similar sets share one of them."""
-    each = stored(sets.select("node", F.size("set").alias("n"), F.explode("set").alias("key")), "shingles")
-    common = stored(each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    # Order: by frequency, then hash, the same for all sets. Shingles of one set only come first and need no row.
-    placed = each.join(common, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
-    return placed.where(prefix > 0).select("node", F.explode(F.slice("shared", F.lit(1), prefix.cast("int"))["key"]).alias("key"))
+def _few(linker: _Linker, rows: DataFrame) -> DataFrame:
+    """rows (key, node) of buckets of a few members -> their pairs across components that may be similar."""
+    marked = linker.labelled(rows).join(linker.marks("node"), "node")
+    side = lambda x: marked.select("key", F.col("node").alias(x), F.col("root").alias(f"{x}_root"), F.col("node_n").alias(f"{x}_n"), F.col("node_s").alias(f"{x}_s"))
+    a, b = side("a"), side("b")
+    return a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & linker.fits()).select("a", "b").distinct()
+
+
+def _clusters(linker: _Linker, rows: DataFrame) -> DataFrame:
+    """rows (key, node) of large buckets of several components -> links (a, b), at least one for each two components that have any.
+
+    Each cluster's nodes outside its largest component meet all its nodes, both in blocks of about BLOCK nodes.
+    """
+    cluster = stored(components(_with_smallest(rows)).withColumnRenamed("root", "cluster"), "clusters")
+    nodes = stored(linker.labelled(cluster), "cluster-nodes")
+    sizes = nodes.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most"))
+    sizes = stored(sizes.where("members > most"), "cluster-sizes")
+    nodes = nodes.join(small_side(sizes, IDS_BROADCAST), "cluster").join(linker.sets(nodes.select("node")), "node").join(linker.nodes.select("node", "sketch"), "node")
+    blocks, queries = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ("node", "root", "sketch", "set")
+    all_of = nodes.select("cluster", place(blocks).alias("block"), every(queries).alias("query"), F.lit(False).alias("asks"), *columns)
+    asking = nodes.where("root <> main").select("cluster", every(blocks).alias("block"), place(queries).alias("query"), F.lit(True).alias("asks"), *columns)
+    percent, most_apart = linker.percent, furthest(linker.percent)
+
+    def links(table: pa.Table) -> pa.Table:
+        asks = np.asarray(table["asks"])
+        node, root = (np.asarray(table[c]) for c in ("node", "root"))
+        sketch = np.stack([np.asarray(x.values).view(np.uint64) for x in table["sketch"]])
+        sets = [np.asarray(x.values).view(np.uint64) for x in table["set"]]
+        size = np.array([len(x) for x in sets])
+        rest, out = np.flatnonzero(~asks), []
+        for q in np.flatnonzero(asks):
+            may = rest[(root[rest] != root[q]) & (np.bitwise_count(sketch[rest] ^ sketch[q]).sum(1) <= most_apart)]
+            linked = set()
+            for m in may.tolist():
+                if root[m] not in linked and 100 * min(size[m], size[q]) >= percent * max(size[m], size[q]):
+                    spot = np.minimum(np.searchsorted(sets[q], sets[m]), size[q] - 1)
+                    both = int((sets[q][spot] == sets[m]).sum())
+                    if 100 * both >= percent * (size[m] + size[q] - both):
+                        linked.add(root[m])
+                        out.append((node[q], node[m]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return all_of.unionByName(asking).groupBy("cluster", "block", "query").applyInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small: int = SMALL_BUCKET) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept, a row each; see match() to keep other columns."""
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept, a row each."""
     own = docs.select("doc_id", "text")
     marks = stored(sketches(own, n), "sketches")
-    nodes = stored(
-        marks.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "sketch"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x")).select("set_key", F.col("x.doc_id").alias("first"), "x.n_shingles", "x.bands", "x.sketch"),
-        "nodes",
-    )
+    first = F.min_by(F.struct("doc_id", "n_shingles", "bands", "sketch"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x")
+    nodes = marks.where("set_key IS NOT NULL").groupBy("set_key").agg(first)
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("x.doc_id").alias("first"), "x.n_shingles", "x.bands", "x.sketch"), "nodes")
     linker = _Linker(own, nodes, n, percent)
-    rows = nodes.select(F.explode("bands").alias("key"), F.col("set_key").alias("node"))
-    shared = stored(nodes.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").select("key"), "shared-bands")
+    rows = nodes.select(F.explode("bands").alias("key"), "node")
+    shared = stored(rows.groupBy("key").count().where("count > 1").select("key"), "shared-bands")
     rows = stored(rows.join(small_side(shared, IDS_BROADCAST), "key"), "buckets")
 
     near = stored(linker.near(_with_smallest(rows)), "near")
     linker.confirm(near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")))
     linker.confirm(linker.across(near))
 
-    marked = linker.labelled(rows)
-    keys = _mixed(marked)
-    few = keys.where(F.col("members") <= small).select("key")
-    linker.confirm(linker.across(linker.near(_pairs_across(marked.join(small_side(few, IDS_BROADCAST), "key")))))
-
-    many = keys.where(F.col("members") > small).select("key")
-    named = stored(rows.join(small_side(many, IDS_BROADCAST), "key", "left_semi").select(F.col("node").alias("set_key")).distinct(), "passage-nodes")
-    if not named.isEmpty():
-        sets = full_sets(own, nodes.select("set_key", "first").join(small_side(named, IDS_BROADCAST), "set_key", "left_semi"), n)
-        prefixes = stored(rarest(sets, percent), "prefixes")
-        linker.confirm(linker.across(linker.near(_with_smallest(prefixes))))
-        marked = linker.labelled(prefixes)
-        keys = _mixed(marked)
-        linker.confirm(linker.across(linker.near(_pairs_across(marked.join(small_side(keys.select("key"), IDS_BROADCAST), "key")))))
-
-    roots = linker.labelled(nodes.select(F.col("set_key").alias("node"), "first"))
-    lowest = stored(roots.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
-    ids = stored(roots.join(lowest, "root").select(F.col("node").alias("set_key"), "component_id"), "components")
-    out = marks.select("doc_id", "n_shingles", "set_key").join(ids, "set_key", "left")
+    keys = linker.mixed(rows)
+    of = lambda which: rows.join(small_side(keys.where(which).select("key"), IDS_BROADCAST), "key")
+    linker.confirm(_few(linker, of(F.col("members") <= small)))
+    large = stored(of(F.col("members") > small), "large-buckets")
+    if not large.isEmpty():
+        linker.add(_clusters(linker, large))
+
+    roots = stored(linker.labelled(nodes.select("node", "set_key", "first")), "roots")
+    lowest = stored(roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "lowest")
+    ids = roots.join(small_side(lowest, IDS_BROADCAST), "root", "left").select("set_key", F.coalesce("component_id", "first").alias("component_id"))
+    out = marks.select("doc_id", "n_shingles", "set_key").join(stored(ids, "components"), "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
