@@ -36,6 +36,63 @@ SELECT d.doc_id, d.size, r.source_size, r.target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
+_HOST = r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)"
+_PATH = r"coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _smoothed(n: str, order: int) -> str:
+    """The smoothed share of a gram's last class, orders 0 to `order` one within the other."""
+    if order < 0:
+        return "(1.0::DOUBLE / 32)"
+    ends = f"code % {32 ** (order + 1)}"
+    context = f"sum({n}) OVER (PARTITION BY ({ends}) // 32)" if order else f"sum({n}) OVER ()"
+    return f"((CAST(sum({n}) OVER (PARTITION BY {ends}) AS DOUBLE) + 2.0::DOUBLE * {_smoothed(n, order - 1)}) / (CAST({context} AS DOUBLE) + 2.0::DOUBLE))"
+
+
+OP5 = rf"""
+WITH p AS (SELECT page_id, url, coalesce(translate({_HOST}, '{_UP}', '{_LOW}'), '') AS host, {_PATH} AS path,
+    translate(translate(coalesce(url, ''), '{_UP}', '{_LOW}'), '123456789', '000000000') AS plain FROM pages),
+rules(rhost, rpath, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fit AS (SELECT page_id, url, host, path, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS rule_verdict
+  FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL),
+s AS (SELECT row_number() OVER () AS r, p.*, rule, rule_verdict, CAST('0x' || substr(md5(coalesce(p.url, '')), 1, 4) AS BIGINT) % 5 = 0 AS held,
+    list_transform(string_split(plain, ''), lambda c: CASE WHEN c = '' THEN NULL ELSE instr('abcdefghijklmnopqrstuvwxyz0/.-:', c) END) AS cls
+  FROM p LEFT JOIN fit ON p.page_id = fit.page_id AND p.url IS NOT DISTINCT FROM fit.url),
+c AS (SELECT *, CASE WHEN plain = '' THEN [] ELSE cls END AS cs FROM s),
+g AS (SELECT r, rule_verdict, held, ((coalesce(CASE WHEN i > 3 THEN cs[i - 3] END, 0) * 32 + coalesce(CASE WHEN i > 2 THEN cs[i - 2] END, 0)) * 32
+    + coalesce(CASE WHEN i > 1 THEN cs[i - 1] END, 0)) * 32 + cs[i] AS code FROM (SELECT r, rule_verdict, held, cs, unnest(generate_series(1, len(cs))) AS i FROM c WHERE len(cs) > 0)),
+n AS (SELECT code, count(*) FILTER (WHERE rule_verdict = 'allow' AND NOT held) AS a, count(*) FILTER (WHERE rule_verdict = 'block' AND NOT held) AS r FROM g GROUP BY code),
+m AS (SELECT code, CAST(floor((ln({_smoothed("r", 3)}) - ln({_smoothed("a", 3)})) * 1000000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS micro FROM n),
+scores AS (SELECT r, CAST(floor(sum(micro) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS score FROM g JOIN m USING (code) GROUP BY r),
+bins AS (SELECT CAST(floor(score / 1000.0::DOUBLE) AS BIGINT) AS bin, count(*) FILTER (WHERE rule_verdict = 'block') AS r, count(*) FILTER (WHERE rule_verdict = 'allow') AS a
+  FROM c JOIN scores USING (r) WHERE held AND rule_verdict IS NOT NULL GROUP BY bin),
+gain AS (SELECT bin, sum(r) OVER down * sum(a) OVER () - sum(a) OVER down * sum(r) OVER () AS gain, sum(r) OVER () > 0 AND sum(a) OVER () > 0 AS both_seen FROM bins WINDOW down AS (ORDER BY bin DESC)),
+at_bin AS (SELECT bin * 1000 AS lowest FROM gain WHERE both_seen ORDER BY gain DESC, bin LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN score >= (SELECT lowest FROM at_bin) THEN 'block' ELSE 'allow' END) AS verdict, score
+FROM c LEFT JOIN scores USING (r)
+"""
+
+OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents),
+l AS (SELECT r, i, line, regexp_extract_all(line, '{_WORD}') AS lw FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+o AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY i) AS seen FROM l WHERE len(lw) > 0),
+j AS (SELECT r, count(*) FILTER (WHERE seen > 1) AS n_dup_lines, sum(len(lw)) FILTER (WHERE seen = 1
+    AND 5 * len(list_filter(lw, lambda x: x = '|')) < len(lw)
+    AND 2 * (len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&<>]{{3}}'))) + len(list_filter(lw, lambda x: contains(x, '!!')))) <= len(lw)
+    AND NOT regexp_matches(line, '(?i)licensed under|all rights reserved|copyright \(c\)|cookie policy|privacy policy|terms of (use|service)|subscribe to|sign up for|click here')) AS kept_words
+  FROM o GROUP BY r),
+win AS (SELECT r, i, list_slice(w, i, i + 4) AS win FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(generate_series(i, i + 4)) AS place FROM again) GROUP BY r),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(kept_words, 0) AS BIGINT) AS n_kept_words
+  FROM d LEFT JOIN j USING (r) LEFT JOIN rep USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_kept_words,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_kept_words >= 0.5 * n_words AS kept FROM b
+"""
+
 OP8 = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents),
 win AS (SELECT doc_id, r, i, list_slice(w, i, i + 12) AS win FROM (SELECT doc_id, r, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
@@ -47,4 +104,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN gone USING (r)
 """
 
-SQL = {"op4_near_duplicates": OP4, "op8_substring_dedup": OP8, "op6_mix_sources": OP6}
+SQL = {"op5_url_filters": OP5, "op7_quality_rules": OP7, "op4_near_duplicates": OP4, "op8_substring_dedup": OP8, "op6_mix_sources": OP6}

@@ -25,7 +25,6 @@ BOILERPLATE = r"(?i)licensed under|all rights reserved|copyright \(c\)|cookie po
 _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]")
 _SYMBOL_WORD = re.compile(rf"[^ \t-\r]*[#*$%&<>]{{3}}[^ \t-\r]*")
 _SHOUT_WORD = re.compile(r"[^ \t-\r]*!![^ \t-\r]*")
-_BAR_WORD = re.compile(r"(?:^|[ \t-\r])[|](?=[ \t-\r]|$)")
 _BOILERPLATE = re.compile(BOILERPLATE)
 
 
@@ -53,11 +52,11 @@ def repeated_words(words: list[bytes], n: int = 5) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def line_fails(line: str, n_words: int) -> bool:
-    """Whether the navigation, punctuation or boilerplate rule removes a line with n_words > 0 words."""
-    if "|" in line and 5 * len(_BAR_WORD.findall(line)) >= n_words:
+def line_fails(line: str, words: list[bytes]) -> bool:
+    """Whether the navigation, punctuation or boilerplate rule removes a line with these words (one at least)."""
+    if 5 * words.count(b"|") >= len(words):
         return True
-    if 2 * (len(_SYMBOL_WORD.findall(line)) + len(_SHOUT_WORD.findall(line))) > n_words:
+    if 2 * (len(_SYMBOL_WORD.findall(line)) + len(_SHOUT_WORD.findall(line))) > len(words):
         return True
     return _BOILERPLATE.search(line) is not None
 
@@ -74,7 +73,7 @@ def judged(text: str | None, least_kept: float = LEAST_KEPT) -> tuple:
             continue
         if own:
             seen.add(line)
-            if line_fails(line, len(own)):
+            if line_fails(line, own):
                 continue
             kept_words += len(own)
         kept_lines.append(line)

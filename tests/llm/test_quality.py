@@ -34,7 +34,7 @@ def test_base_figures(text):
 
 
 def test_lines():
-    fails = lambda s: line_fails(s, len(s.split()))
+    fails = lambda s: line_fails(s, s.encode().split())
     assert fails("home | about | news | contact") and fails("BUY!! NOW!! CHEAP!!") and fails("some*** words### here$$$") and fails("All rights reserved.")
     assert not fails("A plain sentence, with words.") and not fails("It costs 5% of a | pipe among many other words of this line here.")
 
