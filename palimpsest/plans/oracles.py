@@ -92,7 +92,7 @@ SQL = {
     "as_of_join": f"""WITH {_LOG}, p(k, at_seq) AS (VALUES ('1', 100::BIGINT), ('1', 5000), ('2', 700), ('3', 9000), ('149', 10), ('99999', 9000))
         SELECT p.k, p.at_seq AS "at", coalesce(l.seq, -1) AS seq, coalesce(l.op, -1) AS op, l.v FROM p ASOF LEFT JOIN log l ON p.k = l.k AND p.at_seq >= l.seq""",
     "live_by_nation": _over_log("SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM top JOIN customer ON k = CAST(c_custkey AS VARCHAR) JOIN nation ON c_nationkey = n_nationkey WHERE op = 1 GROUP BY n_name"),
-    "status_names": "SELECT i AS id, CASE WHEN i BETWEEN 0 AND 6 THEN ['OK', 'NOT_FOUND', 'IO_ERROR', 'CORRUPTION', 'OUT_OF_MEMORY', 'BUSY', 'INVALID_ARG'][i + 1] ELSE 'UNKNOWN' END AS name FROM range(-1, 9) r(i)",
+    "status_names": "SELECT i AS id, CASE WHEN i BETWEEN 0 AND 6 THEN ['OK', 'NOT_FOUND', 'IO_ERROR', 'CORRUPTION', 'OOM', 'BUSY', 'INVALID_ARG'][i + 1] ELSE 'UNKNOWN' END AS name FROM range(-1, 9) r(i)",
     "byte_order": "SELECT s, encode(s) < encode('m') AS below_m, encode(s) = encode('') AS is_empty, CAST(octet_length(encode(s)) AS BIGINT) AS n_bytes FROM (SELECT DISTINCT unnest([p_name, substr(p_name, 1, 3), '']) AS s FROM part)",
     "stream_live": _over_log("SELECT k, seq, v FROM top WHERE op = 1"),
     "store_live": _over_log("SELECT k, seq, v FROM top WHERE op = 1"),

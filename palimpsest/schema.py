@@ -17,7 +17,7 @@ LOG = T.StructType([
 ])
 
 #: Status names by code.
-STATUS = ("OK", "NOT_FOUND", "IO_ERROR", "CORRUPTION", "OUT_OF_MEMORY", "BUSY", "INVALID_ARG")
+STATUS = ("OK", "NOT_FOUND", "IO_ERROR", "CORRUPTION", "OOM", "BUSY", "INVALID_ARG")
 
 
 class StoreError(Exception):
