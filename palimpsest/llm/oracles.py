@@ -95,13 +95,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 OP8 = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents),
-win AS (SELECT doc_id, r, i, list_slice(w, i, i + 12) AS win FROM (SELECT doc_id, r, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+win AS (SELECT doc_id, r, i, array_to_string(list_slice(w, i, i + 12), ' ') AS win FROM (SELECT doc_id, r, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
 f AS (SELECT win, min(doc_id) AS first FROM win GROUP BY win HAVING min(doc_id) < max(doc_id)),
 hit AS (SELECT DISTINCT r, unnest(generate_series(i, i + 12)) AS place FROM win JOIN f USING (win) WHERE doc_id > first),
-gone AS (SELECT r, list(place) AS places, count(*) AS n FROM hit GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_select(w, list_filter(generate_series(1, len(w)), lambda x: NOT list_contains(gone.places, x))) END, ' ')) AS kept_sha256
-FROM d LEFT JOIN gone USING (r)
+gone AS (SELECT r, count(*) AS n FROM hit GROUP BY r),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d) x ANTI JOIN hit ON x.r = hit.r AND x.i = hit.place GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 """
 
 SQL = {"op5_url_filters": OP5, "op7_quality_rules": OP7, "op4_near_duplicates": OP4, "op8_substring_dedup": OP8, "op6_mix_sources": OP6}
