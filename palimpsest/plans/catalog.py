@@ -55,6 +55,11 @@ def index_phantom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.phantoms(index_log(spark, sf_dir, 1000), customers, "c_custkey").select("secondary", F.col("primary").alias("prim"))
 
 
+def index_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    return index.resolvable(index_log(spark, sf_dir, 1000), customers, "c_custkey").select("secondary", F.col("primary").alias("prim"))
+
+
 def index_lookup_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.lookup_primary(index_log(spark, sf_dir)).select("secondary", F.col("primary").alias("prim"))
 
@@ -223,6 +228,7 @@ def queries() -> dict:
         "logical_size": _over_log(resolve.logical_size),
         "index_get": index_get,
         "index_phantom": index_phantom,
+        "index_semi": index_semi,
         "index_lookup_primary": index_lookup_primary,
         "index_delete": index_delete,
         "index_multi": index_multi,

@@ -71,6 +71,7 @@ SQL = {
     "logical_size": _over_log("SELECT count(*) AS entries, CAST(sum(octet_length(encode(k)) + coalesce(octet_length(encode(v)), 0) + 17) AS BIGINT) AS bytes FROM log"),
     "index_get": f"WITH {_IDX} SELECT secondary, prim, c_name FROM idx JOIN customer ON prim = c_custkey",
     "index_phantom": f"WITH {_INDEX.format(shift=1000, op=1)} SELECT secondary, prim FROM idx ANTI JOIN customer ON prim = c_custkey",
+    "index_semi": f"WITH {_INDEX.format(shift=1000, op=1)} SELECT secondary, prim FROM idx SEMI JOIN customer ON prim = c_custkey",
     "index_lookup_primary": f"WITH {_IDX} SELECT secondary, prim FROM idx",
     "index_delete": f"WITH {_INDEX.format(shift=0, op="CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END")} SELECT secondary, prim FROM idx WHERE op = 1",
     "index_multi": "SELECT o_orderpriority AS secondary, count(DISTINCT o_custkey) AS entries, max(o_orderkey) AS last_seq FROM orders GROUP BY 1",
