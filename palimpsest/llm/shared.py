@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +59,41 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def word_count(text) -> F.Column:
     """Number of words of a text column; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: What a Python worker keeps between tasks: one object at most, of the operator that ran last.
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """The object that this process keeps under a key, made if it is not there; whatever else it kept goes."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def begin(keeps: bool) -> None:
+    if not keeps:
+        _held.clear()
+
+
+def end() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """run for a Python worker that tasks of several operators share: frees what another one kept, and gives memory back after."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        begin(keeps)  # by their names in this module: what this function holds itself would be sent along as a copy
+        try:
+            yield from run(batches)
+        finally:
+            end()
+
+    return wrapped

@@ -17,57 +17,30 @@ text or another, are neither source nor loser to each other. Texts shorter than
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.llm.shared import small_side, stored
+from palimpsest.llm.shared import lean, small_side, stored
 
 WINDOW = 13
 #: Windows a slice is meant for, and its cells in each of the two rows; characters of a document group; windows held by a task.
-SLICE_WINDOWS, SLICE_CELLS, GROUP_CHARS, HELD = 2_000_000, 1 << 24, 24_000_000, 4_000_000
+SLICE_WINDOWS, SLICE_CELLS, GROUP_CHARS, HELD = 1_000_000, 1 << 23, 24_000_000, 1_500_000
 #: A cell that so many pieces hold is often repeated. Bytes of removed runs that may be broadcast.
-OFTEN, BROADCAST_BYTES = 200, 32_000_000
+OFTEN, BROADCAST_BYTES = 64, 32_000_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
-class Words:
-    """128-bit hashes of words, those of frequent ones kept."""
-
-    def __init__(self, most: int = 400_000):
-        self.ids: dict[bytes, int] = {}
-        self.hashes = np.empty((most, 2), np.uint64)
-        self.most = most
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        if len(self.ids) + len(set(words) - self.ids.keys()) > self.most:
-            self.ids.clear()
-        out = np.empty((len(words), 2), np.uint64) if len(words) > self.most else None
-        if out is not None:  # a text longer than what is kept
-            for i, w in enumerate(words):
-                h = xxhash.xxh3_128_intdigest(w)
-                out[i] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
-            return out
-        ids = self.ids
-        for w in set(words) - ids.keys():
-            h = xxhash.xxh3_128_intdigest(w)
-            self.hashes[len(ids)] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
-            ids[w] = len(ids)
-        return self.hashes[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))]
-
-
-_words: list[Words] = []
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if not _words:
-        _words.append(Words())
-    return _words[0].of(words)
+    """128 bits of each word, as two numbers."""
+    import xxhash
+
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -76,12 +49,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def rolled(h: np.ndarray, starts: np.ndarray | None, n: int, odd: np.uint64) -> np.ndarray:
-    """Hashes of the windows of n words, all of them or those at starts."""
-    out = np.zeros(max(0, len(h) - n + 1) if starts is None else len(starts), np.uint64)
-    for j in range(n):
-        out = out * odd + (h[j : j + len(out)] if starts is None else h[starts + j])
-    return mixed(out)
+def rolled(h: np.ndarray, n: int, odd: np.uint64) -> np.ndarray:
+    """Hashes of all windows of n words: a polynomial in odd, put together from windows of powers of two."""
+    out, span, power, by, length = None, 0, h, odd, 1
+    while True:
+        if n & length:  # the part so far stands before this one
+            out = power if out is None else out[: len(out) - length] * by + power[span : span + len(out) - length] if len(out) > length else out[:0]
+            span += length
+        length *= 2
+        if length > n:
+            return mixed(out)
+        power = power[: -(length // 2)] * by + power[length // 2 :] if len(power) > length // 2 else power[:0]
+        with np.errstate(over="ignore"):
+            by = by * by
 
 
 def cells(windows: np.ndarray, row: int, slices: int) -> np.ndarray:
@@ -106,14 +86,31 @@ def packed(values: np.ndarray, firsts: np.ndarray) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), at
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
+def unpacked_each(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of several packed parts, one after the other, and how many each has."""
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    last = raw < 128
+    done = np.concatenate([[0], np.cumsum(last)])
+    edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+    sizes = np.diff(done[edges])
     if not len(raw):
-        return np.zeros(0, np.int64)
-    ends = np.flatnonzero(raw < 128)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
-    return np.cumsum(np.add.reduceat((raw & np.uint8(127)).astype(np.int64) << (7 * place), starts))
+        return np.zeros(0, np.int64), sizes
+    ends = np.flatnonzero(last)
+    gap = (raw[ends] & np.uint8(127)).astype(np.int64)
+    length = np.diff(ends, prepend=-1)
+    gap <<= 7 * (length - 1)
+    for k in range(1, int(length.max())):  # k bytes before the last
+        own = length > k
+        gap[own] |= (raw[ends[own] - k] & np.uint8(127)).astype(np.int64) << (7 * (length[own] - 1 - k))
+    values = np.cumsum(gap)
+    first = np.cumsum(sizes) - sizes
+    there = sizes > 0
+    values -= np.repeat((values[first[there]] - gap[first[there]]), sizes[there])
+    return values, sizes
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return unpacked_each([data])[0]
 
 
 def _pieces(windows: list[np.ndarray], groups: list[np.ndarray], slices: int) -> Iterator[pa.RecordBatch]:
@@ -147,7 +144,8 @@ def sketch(docs: DataFrame, slices: int, n: int = WINDOW) -> DataFrame:
             for grp, text in zip(b.column("grp").to_pylist(), b.column("text"), strict=True):
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
                 if len(words) >= n:
-                    own = np.unique(rolled(word_hashes(words)[:, 0], None, n, _ODD[0]))
+                    own = np.sort(rolled(word_hashes(words)[:, 0], n, _ODD[0]))
+                    own = own[np.append(True, own[1:] != own[:-1])]
                     windows.append(own)
                     groups.append(np.full(len(own), grp, np.int32))
                     held += len(own)
@@ -157,32 +155,36 @@ def sketch(docs: DataFrame, slices: int, n: int = WINDOW) -> DataFrame:
         if held:
             yield from _pieces(windows, groups, slices)
 
-    return docs.select("grp", "text").mapInArrow(run, SKETCH)
+    return docs.select("grp", "text").mapInArrow(lean(run), SKETCH)
 
 
 def repeated_cells(parts: DataFrame) -> DataFrame:
     """Partial counts -> grp, slice, row, cells (those of the group's cells with a count of two or more), often (of these)."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        count = np.zeros(SLICE_CELLS, np.uint16)
-        own: dict[int, list[np.ndarray]] = {}
-        for grp, once, twice in zip(*(table.column(c).to_pylist() for c in ("grp", "once", "twice")), strict=True):
-            at = unpacked(once)
-            own.setdefault(grp, []).append(at)
-            for x in (at, unpacked(twice)):
-                count[x] += count[x] < 60_000
-        out = []
-        for grp, found in own.items():
-            at = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
-            c = count[at]
-            often = at[c >= OFTEN]
-            at = at[c >= 2]
-            if len(at):
-                pack = lambda x: packed(x.astype(np.uint64), np.zeros(1, np.int64))[0] if len(x) else b""
-                out.append((grp, key[0].as_py(), key[1].as_py(), pack(at), pack(often)))
-        names = ("grp", "slice", "row", "cells", "often")
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(zip(names, kinds, strict=True))})
+        table = table.sort_by("grp")
+        grp, once = np.asarray(table["grp"]), table["once"].to_pylist()
+        count = np.zeros(SLICE_CELLS, np.uint32)
+        at, sizes = unpacked_each(once)
+        np.add.at(count, at, np.uint32(1))
+        np.add.at(count, unpacked_each(table["twice"].to_pylist())[0], np.uint32(1))
+        found = count[at] >= 2
+        own = np.unique(np.repeat(grp, sizes)[found].astype(np.uint64) * np.uint64(SLICE_CELLS) + at[found].astype(np.uint64))
+        group, at = own // np.uint64(SLICE_CELLS), own % np.uint64(SLICE_CELLS)
+        often = count[at.astype(np.int64)] >= OFTEN
+        names = np.unique(group)
+        packs = {}
+        for name, g, x in (("cells", group, at), ("often", group[often], at[often])):
+            starts = np.searchsorted(g, names)
+            there = np.searchsorted(g, names, "right") > starts
+            data, byte = packed(x, starts[there])
+            edges = np.append(byte[starts[there]], len(data))
+            packs[name] = dict(zip(names[there].tolist(), (data[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)), strict=True))
+        ids = names.tolist()
+        return pa.table({
+            "grp": pa.array(ids, pa.int32()), "slice": pa.array([key[0].as_py()] * len(ids), pa.int32()), "row": pa.array([key[1].as_py()] * len(ids), pa.int32()),
+            "cells": pa.array([packs["cells"][i] for i in ids], pa.binary()), "often": pa.array([packs["often"].get(i, b"") for i in ids], pa.binary()),
+        })
 
     return parts.groupBy("slice", "row").applyInArrow(merge, "grp int, slice int, row int, cells binary, often binary")
 
@@ -198,67 +200,85 @@ class _Found:
             if data:
                 self.parts.setdefault((row, kind), []).append(unpacked(data) + part * SLICE_CELLS)
 
-    def ready(self) -> _Found:
-        self.sorted = {k: np.sort(np.concatenate(v)).astype(np.uint64) for k, v in self.parts.items()}
-        self.seen = {}
-        for k, v in self.sorted.items():
-            self.seen[k] = np.zeros(1 << 23, bool)
-            self.seen[k][(v & np.uint64((1 << 23) - 1)).astype(np.int64)] = True
-        return self
+    def table(self, row: int, kind: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The sorted cells, and a small table of their last bits that tells most others apart."""
+        parts = self.parts.get((row, kind))
+        if isinstance(parts, list):
+            cells = np.sort(np.concatenate(parts)).astype(np.uint64)
+            low = np.zeros(1 << 23, bool)
+            low[(cells & np.uint64((1 << 23) - 1)).astype(np.int64)] = True
+            parts = self.parts[row, kind] = (cells, low)
+        return parts
 
     def has(self, kind: str, windows: np.ndarray, slices: int) -> np.ndarray:
         """Places of the windows whose cells are repeated in both rows."""
         at = np.arange(len(windows))
         for row in (0, 1):
-            table = self.sorted.get((row, kind))
-            if table is None:
+            if (found := self.table(row, kind)) is None:
                 return at[:0]
+            table, low = found
             c = cells(windows[at], row, slices)
-            may = self.seen[row, kind][(c & np.uint64((1 << 23) - 1)).astype(np.int64)]
+            may = low[(c & np.uint64((1 << 23) - 1)).astype(np.int64)]
             at, c = at[may], c[may]
             spot = np.minimum(np.searchsorted(table, c), len(table) - 1)
             at = at[table[spot] == c]
         return at
 
 
-CANDIDATES = "h1 long, h2 int, doc_id long, tk int, pos int, often boolean"
+CANDIDATES = "h1 long, h2 int, doc_id long, tk int, places array<int>, often boolean"
 
 
 def candidates(docs: DataFrame, replies: DataFrame, slices: int, groups: int, n: int = WINDOW) -> DataFrame:
-    """The windows of docs (grp, doc_id, tk, text) that the sketches say may be repeated, once a document each place."""
+    """The windows of docs (grp, doc_id, tk, text) that the sketches say may be repeated: once a document, with their places."""
     nothing = lambda kind: F.lit(None).cast(kind)
     a = replies.select("grp", F.lit(0).alias("kind"), nothing("long").alias("doc_id"), nothing("int").alias("tk"), nothing("string").alias("text"), "slice", "row", "cells", "often")
     b = docs.select("grp", F.lit(1).alias("kind"), "doc_id", "tk", "text", nothing("int").alias("slice"), nothing("int").alias("row"), nothing("binary").alias("cells"), nothing("binary").alias("often"))
 
+    def looked_up(found: _Found, held: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch | None:
+        """The candidates of a block of documents (id, tk, words) of one group."""
+        h = word_hashes(list(itertools.chain.from_iterable(words for _, _, words in held)))
+        lens = np.fromiter((len(words) for _, _, words in held), np.int64, len(held))
+        end, doc = np.cumsum(lens), np.repeat(np.arange(len(held)), lens)
+        w = rolled(h[:, 0], n, _ODD[0])
+        starts = np.flatnonzero(np.arange(len(w)) + n <= end[doc[: len(w)]])  # those that do not cross into the next document
+        at = starts[found.has("cells", w[starts], slices)]
+        if not len(at):
+            return None
+        # a window's places in a document side by side, so that a document gives one row for each window
+        at = at[np.lexsort((w[at], doc[at]))]
+        first = np.flatnonzero((np.diff(w[at], prepend=w[at[0]] + np.uint64(1)) != 0) | (np.diff(doc[at], prepend=-1) != 0))
+        one, own = at[first], doc[at[first]]
+        often = np.zeros(len(one), bool)
+        often[found.has("often", w[one], slices)] = True
+        h2 = (rolled(h[:, 1], n, _ODD[2])[one] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+        ids, tks = (np.fromiter((x[k] for x in held), kind, len(held))[own] for k, kind in ((0, np.int64), (1, np.int32)))
+        places = (at - (end - lens)[doc[at]]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(places))
+        return pa.RecordBatch.from_arrays([*map(pa.array, (w[one].view(np.int64), h2, ids, tks)), lists, pa.array(often)], ["h1", "h2", "doc_id", "tk", "places", "often"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grp, found, built = None, _Found(), False
+        grp, found, held, size = None, _Found(), [], 0
         for batch in batches:
             rows = {c: batch.column(c) for c in ("text", "cells", "often")}
             light = zip(*(batch.column(c).to_pylist() for c in ("grp", "kind", "doc_id", "tk", "slice", "row")), strict=True)
-            out = []
             for i, (g, kind, doc_id, tk, part, row) in enumerate(light):
+                if held and (g != grp or size > 200_000):
+                    if (out := looked_up(found, held)) is not None:
+                        yield out
+                    held, size = [], 0
                 if g != grp:
-                    grp, found, built = g, _Found(), False
+                    grp, found = g, _Found()
                 if kind == 0:
                     found.add(row, part, rows["cells"][i].as_py(), rows["often"][i].as_py())
                     continue
-                if not built:
-                    found, built = found.ready(), True
                 words = rows["text"][i].as_py().encode("utf-8", "surrogatepass").split()
-                if len(words) < n:
-                    continue
-                h = word_hashes(words)
-                w = rolled(h[:, 0], None, n, _ODD[0])
-                at = found.has("cells", w, slices)
-                if len(at):
-                    often = np.zeros(len(at), bool)
-                    often[found.has("often", w[at], slices)] = True
-                    h2 = (rolled(h[:, 1], at, n, _ODD[2]) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                    out.append((w[at].view(np.int64), h2, np.full(len(at), doc_id, np.int64), np.full(len(at), tk, np.int32), at.astype(np.int32), often))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h1", "h2", "doc_id", "tk", "pos", "often"])
+                if len(words) >= n:
+                    held.append((doc_id, tk, words))
+                    size += len(words)
+        if held and (out := looked_up(found, held)) is not None:
+            yield out
 
-    return a.unionByName(b).repartition(groups, "grp").sortWithinPartitions("grp", "kind").mapInArrow(run, CANDIDATES)
+    return a.unionByName(b).repartitionById(groups, F.col("grp")).sortWithinPartitions("grp", "kind").mapInArrow(lean(run), CANDIDATES)
 
 
 def _runs(starts: DataFrame, n: int) -> DataFrame:
@@ -290,10 +310,10 @@ def dedup(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     replies = stored(repeated_cells(sketch(own, slices, n)), "substr-cells")
     found = stored(candidates(own, replies, slices, groups, n), "substr-windows")
     smallest = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
-    rare = found.where("NOT often").withColumn("first", smallest).where("doc_id > first").select("doc_id", "tk", "pos")
+    rare = found.where("NOT often").withColumn("first", smallest).where("doc_id > first").select("doc_id", "tk", "places")
     firsts = stored(found.where("often").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "substr-firsts")
-    often = found.where("often").join(small_side(firsts), ["h1", "h2"]).where("doc_id > first").select("doc_id", "tk", "pos")
-    starts = rare.unionByName(often).groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list("pos")).alias("starts"))
+    often = found.where("often").join(small_side(firsts), ["h1", "h2"]).where("doc_id > first").select("doc_id", "tk", "places")
+    starts = rare.unionByName(often).groupBy("doc_id", "tk").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("starts"))
     runs = stored(_runs(starts, n), "substr-runs")
     size = runs.agg(F.coalesce(F.sum(F.length("runs") + 40), F.lit(0))).collect()[0][0]
     return _cut(docs, copies, F.broadcast(runs) if size <= BROADCAST_BYTES else runs, n)
@@ -301,13 +321,13 @@ def dedup(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
 def _cut(docs: DataFrame, copies: DataFrame, runs: DataFrame, n: int) -> DataFrame:
     names = ("n_words", "n_removed", "kept")
-    kept = [c for c in docs.columns if c not in names]
+    schema = T.StructType([f for f in docs.schema if f.name not in names]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    kept = schema.names[:-3]
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select(*kept, F.md5(text.cast("binary")).alias("__digest"), F.hash(text).alias("__tk"), F.col("doc_id").cast("long").alias("__id"))
+    own = docs.drop(*names).select("*", F.md5(text.cast("binary")).alias("__digest"), F.hash(text).alias("__tk"), F.col("doc_id").cast("long").alias("__id"))
     own = own.join(copies.select(F.col("digest").alias("__digest"), F.col("first").alias("__first")), "__digest", "left")
     own = own.join(runs.select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), F.col("runs").alias("__runs")), ["__id", "__tk"], "left")
     own = own.select(*kept, F.coalesce(F.col("__id") > F.col("__first"), F.lit(False)).alias("__copy"), "__runs")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", n_words long, n_removed long, kept string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,4 +349,4 @@ def _cut(docs: DataFrame, copies: DataFrame, runs: DataFrame, n: int) -> DataFra
                 texts.append(b" ".join(left).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_pydict({c: b.column(c) for c in kept} | {"n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(texts, pa.string())})
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(lean(run), schema)
