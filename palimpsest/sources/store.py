@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.operators import resolve
 from palimpsest.schema import DELETE, LOG, PUT, BusyError, CorruptionError, InvalidArgument
@@ -176,25 +177,22 @@ class Store:
             "maxRecordsPerFile": self.options.records_per_file, "parquet.bloom.filter.enabled#key": "true",
             "parquet.bloom.filter.expected.ndv#key": str(max(1, min(rows, self.options.bloom_keys))), "parquet.page.write-checksum.enabled": "true",
         }).parquet(out)
-        m = self._read(f"{out}").agg(F.count("*").alias("entries"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.min(F.hex("key")).alias("first"), F.max(F.hex("key")).alias("last"), F.count_if(F.col("op") == DELETE).alias("deletes")).collect()[0]
+        m = self._read(run).agg(F.count("*").alias("entries"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.min(F.hex("key")).alias("first"), F.max(F.hex("key")).alias("last"), F.count_if(F.col("op") == DELETE).alias("deletes")).collect()[0]
         return {"n": run, "entries": m["entries"], "deletes": m["deletes"], "min_seq": m["low"], "max_seq": m["high"], "min_key": m["first"], "max_key": m["last"]}
 
     # reads
 
-    def _read(self, *paths: str) -> DataFrame:
-        reader = self.spark.read.schema(LOG).option("parquet.page.verify-checksum.enabled", str(self.options.verify_checksums).lower())
-        return reader.option("ignoreCorruptFiles", "false").parquet(*paths)
+    def _read(self, *runs: int) -> DataFrame:
+        """Runs as one scan, with the run's number from its folder's name."""
+        reader = self.spark.read.schema(T.StructType([*LOG, T.StructField("run", T.LongType(), False)])).option("basePath", f"{self.path}/data")
+        reader = reader.option("parquet.page.verify-checksum.enabled", str(self.options.verify_checksums).lower()).option("ignoreCorruptFiles", "false")
+        return reader.parquet(*[f"{self.path}/data/run={n:06d}" for n in runs])
 
     def log(self, manifest: Manifest | None = None, up_to: int | None = None, key: bytes | None = None) -> DataFrame:
         """Every version, with its run; runs that begin after up_to or can't hold key are not read."""
         m = manifest or self.manifest()
-        wanted = [r for r in m.runs if (up_to is None or r["min_seq"] <= up_to) and (key is None or r["min_key"] <= key.hex().upper() <= r["max_key"])]
-        out = None
-        for r in wanted:
-            one = self._read(f"{self.path}/data/run={r['n']:06d}").withColumn("run", F.lit(r["n"]).cast("long"))
-            out = one if out is None else out.unionByName(one)
-        if out is None:
-            out = self.spark.createDataFrame([], LOG).withColumn("run", F.lit(0).cast("long"))
+        wanted = [r["n"] for r in m.runs if (up_to is None or r["min_seq"] <= up_to) and (key is None or r["min_key"] <= key.hex().upper() <= r["max_key"])]
+        out = self._read(*wanted) if wanted else self.spark.createDataFrame([], T.StructType([*LOG, T.StructField("run", T.LongType(), False)]))
         if key is not None:
             out = out.where(F.col("key") == F.lit(key))
         return out if up_to is None else resolve.as_of(out, up_to)
