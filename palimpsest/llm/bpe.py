@@ -28,25 +28,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.llm.shared import held, lean
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Rows that one recursive query may make; characters of text held as pieces at once; pieces whose ids are kept.
-STEP_ROWS, BLOCK_CHARS, KEPT_PIECES = 2_000_000, 4_000_000, 1_000_000
+STEP_ROWS, BLOCK_CHARS, KEPT_PIECES = 1_500_000, 3_000_000, 600_000
 LONG = 96
-DUCKDB_MEMORY = "200MB"
+DUCKDB_MEMORY = "150MB"
 
 _STEPS = """WITH RECURSIVE state AS (
   SELECT 0 AS step, piece, pos, token, false AS done FROM start
   UNION ALL SELECT * FROM ({step})
 ) SELECT piece, pos, token, done FROM state WHERE done OR step = $most ORDER BY piece, pos"""
 
-#: One contraction a piece: its lowest rank, of these the leftmost position, and the position that goes, in one number.
-_LEFTMOST = _STEPS.format(step="""
-  WITH pairs AS (SELECT step, piece, pos, token, lead(token) OVER w AS right_token, lead(pos) OVER w AS right_pos
-    FROM state WHERE NOT done AND step < $most WINDOW w AS (PARTITION BY piece ORDER BY pos)),
-  best AS (SELECT piece, min((CAST(merged AS BIGINT) << 40) + (CAST(pos AS BIGINT) << 20) + right_pos) AS k
-    FROM pairs JOIN merges ON pair = (CAST(token AS BIGINT) << 32) + right_token GROUP BY piece)
-  SELECT step + 1, p.piece, p.pos, CASE WHEN p.pos = (k >> 20) & 1048575 THEN CAST(k >> 40 AS INTEGER) ELSE p.token END, k IS NULL
-  FROM pairs p LEFT JOIN best ON best.piece = p.piece WHERE k IS NULL OR p.pos <> k & 1048575""")
+#: One contraction a piece: its lowest rank, of these the leftmost position, and the position that goes, in one number. Piece
+#: and position, which is below 128 here, are one number too, so that neighbours come from a sort by one key.
+_LEFTMOST = """WITH RECURSIVE state AS (
+  SELECT 0 AS step, piece * 128 + pos AS spot, token, false AS done FROM start
+  UNION ALL SELECT * FROM (
+    WITH pairs AS (SELECT step, spot, spot >> 7 AS piece, token, lead(token) OVER w AS right_token, lead(spot) OVER w AS right_spot
+      FROM state WHERE NOT done AND step < $most WINDOW w AS (ORDER BY spot)),
+    best AS (SELECT piece, min((CAST(merged AS BIGINT) << 14) + ((spot & 127) << 7) + (right_spot & 127)) AS k
+      FROM pairs JOIN merges ON pair = (CAST(token AS BIGINT) << 32) + right_token WHERE right_spot >> 7 = piece GROUP BY piece)
+    SELECT step + 1, spot, CASE WHEN (spot & 127) = (k >> 7) & 127 THEN CAST(k >> 14 AS INTEGER) ELSE token END, k IS NULL
+    FROM pairs p LEFT JOIN best ON best.piece = p.piece WHERE k IS NULL OR (spot & 127) <> (k & 127))
+) SELECT spot >> 7 AS piece, (spot & 127) AS pos, token, done FROM state WHERE done OR step = $most ORDER BY spot"""
 
 #: All occurrences of a piece's lowest rank: every other one in a run of adjacent ones, or the leftmost if its token is in `alone`.
 _EVERY = _STEPS.format(step="""
@@ -81,14 +87,9 @@ def pattern() -> str:
 class Codec:
     """Encoder and decoder of one Python process, with its own DuckDB."""
 
-    _one: dict[str, Codec] = {}
-
     @classmethod
     def of(cls, ranks: bytes, pat: str) -> Codec:
-        key = hashlib.sha256(ranks + pat.encode()).hexdigest()
-        if key not in cls._one:
-            cls._one = {key: cls(ranks, pat)}
-        return cls._one[key]
+        return held(("bpe", hashlib.sha256(ranks + pat.encode()).hexdigest()), lambda: cls(ranks, pat))
 
     def __init__(self, ranks: bytes, pat: str):
         import duckdb
@@ -143,6 +144,7 @@ class Codec:
         for i in np.flatnonzero(whole >= 0).tolist():
             self.kept[new[i]] = int(whole[i]).to_bytes(4, "little")
         for own in (np.flatnonzero((whole < 0) & (lens <= LONG)), np.flatnonzero((whole < 0) & (lens > LONG))):
+            own = own[np.argsort(lens[own], kind="stable")]  # pieces of a length need about as many steps
             rows = np.cumsum(lens[own] ** 2 // 2) // STEP_ROWS
             for batch in np.split(own, np.flatnonzero(np.diff(rows)) + 1):
                 if len(batch):
@@ -207,7 +209,7 @@ def _mapped(df: DataFrame, more: str, make) -> DataFrame:
             new = zip(names, make(b), strict=True)
             yield pa.RecordBatch.from_pydict(dict(old) | dict(new))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run, keeps=True), schema)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
