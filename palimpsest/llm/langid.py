@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.llm.shared import lean
+
 #: Language families by ISO 639-1 code.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -233,7 +235,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 if (f := features(text.as_py())) is not None:
                     yield pa.RecordBatch.from_pydict({"lang": [lang], "at": [f[0]], "share": [f[1]]}, schema)
 
-    table = drawn.repartition(8).mapInArrow(run, "lang string, at array<int>, share array<float>").toArrow()
+    table = drawn.repartition(8).mapInArrow(lean(run), "lang string, at array<int>, share array<float>").toArrow()
     rows = [(x, np.asarray(a.values), np.asarray(s.values)) for x, a, s in zip(table["lang"].to_pylist(), table["at"], table["share"], strict=True)]
     return fitted(sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
 
@@ -251,4 +253,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             langs, scores = sent.value.predict(texts) if sent.value else (["und"] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_pydict({c: b.column(c) for c in kept} | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return docs.drop(*names).mapInArrow(run, schema)
+    return docs.drop(*names).mapInArrow(lean(run), schema)

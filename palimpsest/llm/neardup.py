@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
-from palimpsest.llm.shared import small_side, stored
+from palimpsest.llm.shared import lean, small_side, stored
 from palimpsest.llm.substr import _ODD, mixed, word_hashes
 
 SHINGLE, PERCENT = 5, 80
@@ -110,7 +110,7 @@ def sketches(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             cols = [pa.array(c, k) for c, k in zip((sizes, keys, bands, marks), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key string, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, set_key string, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -123,7 +123,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             found = [shingles(t.as_py(), n) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.string()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["set_key", "set"])
 
-    sets = own.select("text").mapInArrow(run, "set_key string, set array<long>").where("set_key IS NOT NULL")
+    sets = own.select("text").mapInArrow(lean(run), "set_key string, set array<long>").where("set_key IS NOT NULL")
     return sets.join(small_side(nodes.select("node", "set_key"), IDS_BROADCAST), "set_key").select("node", "set").dropDuplicates(["node"])
 
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.shared import lean
+
 LEAST_KEPT = 0.5
 #: Characters that count as symbols; what boilerplate lines say.
 SYMBOLS = "#*$%&|<>"
@@ -98,4 +100,4 @@ def quality(docs: DataFrame, least_kept: float = LEAST_KEPT, texts: bool = False
             cols = [[r[i] for r in rows] for i in range(len(names) - 1)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), schema)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a side that may be broadcast; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 20_000
+#: Rows that a Python worker gets at once while a table is stored: texts are long, and Spark's own bound is 10,000.
+ARROW_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +39,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), ARROW_ROWS)) if int(before) > 0 else str(ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import pattern, vocabulary
-from palimpsest.llm.shared import stored
+from palimpsest.llm.shared import held, lean, stored
 
 VOCABULARY, LENGTH, PER_SHARD, KEY, ROUNDS = "byte_bpe_50k.tiktoken", 1024, 4096, "order-1", 6
 
@@ -52,17 +52,14 @@ def permuted(numbers: np.ndarray, count: int, key: str = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_encodings: dict[str, object] = {}
-
-
 def _encoding(ranks: bytes, pat: str):
     import tiktoken
 
-    key = hashlib.sha256(ranks + pat.encode()).hexdigest()
-    if key not in _encodings:
+    def make() -> object:
         table = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks.splitlines()) if t}
-        _encodings[key] = tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=table, special_tokens={})
-    return _encodings[key]
+        return tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=table, special_tokens={})
+
+    return held(("slots", hashlib.sha256(ranks + pat.encode()).hexdigest()), make)
 
 
 def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -94,7 +91,7 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, seq long, n_tokens long, record binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run, keeps=True), "doc_id long, seq long, n_tokens long, record binary")
 
 
 def ordered(docs: DataFrame, key: str = KEY, per_shard: int = PER_SHARD, path: str | None = None, length: int = LENGTH) -> DataFrame:

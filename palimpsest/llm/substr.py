@@ -8,7 +8,7 @@ exactly, by 96 bits of two hashes of their words, and lose to the smallest id. T
 slice, and the share of windows that pass wrongly, stay the same at every size; no sketch is broadcast or collected.
 
 Windows that very many pieces hold (an often repeated passage) are marked in the reply; for them the smallest id is found by a
-partial aggregate and joined back, so that no task gets all documents of a passage. Whole texts that repeat are found by
+partial aggregate and sent to parts of the window's documents, so that no task gets all documents of a passage. Whole texts that repeat are found by
 digest before all this: all but those with the smallest id lose every word, if they have as many as a window.
 
 Null texts have no words. Rows with a null id lose nothing and take nothing from others. Rows that repeat an id, with the same
@@ -30,9 +30,11 @@ from palimpsest.llm.shared import lean, small_side, stored
 
 WINDOW = 13
 #: Windows a slice is meant for, and its cells in each of the two rows; characters of a document group; windows held by a task.
-SLICE_WINDOWS, SLICE_CELLS, GROUP_CHARS, HELD = 1_000_000, 1 << 23, 24_000_000, 1_500_000
+SLICE_WINDOWS, SLICE_CELLS, GROUP_CHARS, HELD = 1_000_000, 1 << 23, 24_000_000, 800_000
 #: A cell that so many pieces hold is often repeated. Bytes of removed runs that may be broadcast.
 OFTEN, BROADCAST_BYTES = 64, 32_000_000
+#: Parts that an often repeated window's documents are dealt into.
+PARTS = 16
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -281,6 +283,19 @@ def candidates(docs: DataFrame, replies: DataFrame, slices: int, groups: int, n:
     return a.unionByName(b).repartitionById(groups, F.col("grp")).sortWithinPartitions("grp", "kind").mapInArrow(lean(run), CANDIDATES)
 
 
+def _often(rows: DataFrame) -> DataFrame:
+    """Candidates of often repeated windows -> doc_id, tk, places of those that a smaller id has too.
+
+    The smallest ids come from a partial aggregate; each goes to every part of its window's documents, so that no task gets
+    all documents of a window.
+    """
+    firsts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    parted = rows.select("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"), "doc_id", "tk", "places")
+    both = parted.unionByName(firsts, allowMissingColumns=True)
+    first = F.min("first").over(Window.partitionBy("h1", "h2", "part"))
+    return both.withColumn("first", first).where("doc_id > first").select("doc_id", "tk", "places")
+
+
 def _runs(starts: DataFrame, n: int) -> DataFrame:
     """doc_id, tk, starts (sorted) -> doc_id, tk, runs: first word and length of each covered stretch, as 32-bit integers."""
 
@@ -311,8 +326,7 @@ def dedup(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     found = stored(candidates(own, replies, slices, groups, n), "substr-windows")
     smallest = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     rare = found.where("NOT often").withColumn("first", smallest).where("doc_id > first").select("doc_id", "tk", "places")
-    firsts = stored(found.where("often").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "substr-firsts")
-    often = found.where("often").join(small_side(firsts), ["h1", "h2"]).where("doc_id > first").select("doc_id", "tk", "places")
+    often = _often(found.where("often"))
     starts = rare.unionByName(often).groupBy("doc_id", "tk").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("starts"))
     runs = stored(_runs(starts, n), "substr-runs")
     size = runs.agg(F.coalesce(F.sum(F.length("runs") + 40), F.lit(0))).collect()[0][0]
@@ -330,7 +344,7 @@ def _cut(docs: DataFrame, copies: DataFrame, runs: DataFrame, n: int) -> DataFra
     own = own.select(*kept, F.coalesce(F.col("__id") > F.col("__first"), F.lit(False)).alias("__copy"), "__runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             counts, removed, texts = [], [], []
             for t, copy, r in zip(b.column("text"), b.column("__copy").to_pylist(), b.column("__runs"), strict=True):
                 words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.shared import lean
+
 DATE = "2024-01-01T00:00:00Z"
 _HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>")
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
@@ -98,7 +100,7 @@ def derive(source: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([x for row in part.to_pylist() for x in derived(row)], schema)
 
     need = ("page_id", "record_id", "target_uri", "warc_date", "http_headers", "payload")
-    return source.select(F.col("page_id").cast("long").alias("page_id"), *need[1:]).mapInArrow(run, SCHEMA)
+    return source.select(F.col("page_id").cast("long").alias("page_id"), *need[1:]).mapInArrow(lean(run), SCHEMA)
 
 
 def serialized(record: dict) -> bytes:
