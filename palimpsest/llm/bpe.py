@@ -20,7 +20,7 @@ import hashlib
 import itertools
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.shared import held, lean
+from palimpsest.llm.shared import held, lean, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Rows that one recursive query may make; characters of text held as pieces at once; pieces whose ids are kept.
-STEP_ROWS, BLOCK_CHARS, KEPT_PIECES = 1_500_000, 3_000_000, 600_000
+STEP_ROWS, BLOCK_CHARS, KEPT_PIECES = 1_000_000, 2_000_000, 350_000
 LONG = 96
 DUCKDB_MEMORY = "150MB"
 
@@ -152,7 +152,7 @@ class Codec:
                     for at, ids in self._contracted([raw[i] for i in order]):
                         self.kept[new[order[at]]] = ids
 
-    def blocks(self, texts: list[str | None]) -> Iterator[list[tuple[int, bytes]]]:
+    def blocks(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, bytes]]]:
         """Lists of (index of the text, ids of the next part of it), in order; each text has at least one part."""
         held, size = [], 0
 
@@ -200,6 +200,7 @@ def _schema(df: DataFrame, more: str) -> T.StructType:
 
 def _mapped(df: DataFrame, more: str, make) -> DataFrame:
     """df with the columns of `more`, which replace those of the same name; make(batch) gives them as lists."""
+    small_batches(df.sparkSession)
     schema = _schema(df, more)
     names = T.StructType.fromDDL(more).names
 
@@ -218,7 +219,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def make(b: pa.RecordBatch) -> tuple:
         ids = [b""] * b.num_rows
-        for block in Codec.of(ranks.value, pat).blocks(b.column("text").to_pylist()):
+        for block in Codec.of(ranks.value, pat).blocks(t.as_py() for t in b.column("text")):
             for i, part in block:
                 ids[i] += part
         return pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())
@@ -241,9 +242,9 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     ranks, pat = docs.sparkSession.sparkContext.broadcast(vocabulary(path)), pattern()
 
     def make(b: pa.RecordBatch) -> tuple:
-        codec, texts = Codec.of(ranks.value, pat), b.column("text").to_pylist()
-        counts, of_ids, of_bytes = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
-        for block in codec.blocks(texts):
+        codec, n = Codec.of(ranks.value, pat), b.num_rows
+        counts, of_ids, of_bytes = [0] * n, [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
+        for block in codec.blocks(t.as_py() for t in b.column("text")):
             for (i, ids), back in zip(block, codec.decoded([x for _, x in block]), strict=True):
                 counts[i] += len(ids) // 4
                 of_ids[i].update(ids)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.shared import lean
+from palimpsest.llm.shared import lean, small_batches
 
 #: Language families by ISO 639-1 code.
 FAMILIES = {
@@ -242,6 +242,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score; columns of those names are replaced."""
+    small_batches(docs.sparkSession)
     names = ("lang_pred", "score")
     schema = T.StructType([f for f in docs.schema if f.name not in names]).add("lang_pred", "string").add("score", "double")
     kept = schema.names[:-2]

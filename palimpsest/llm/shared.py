@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a side that may be broadcast; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 20_000
-#: Rows that a Python worker gets at once while a table is stored: texts are long, and Spark's own bound is 10,000.
+#: Rows that a Python worker gets at once: texts are long, and Spark's own bound is 10,000.
 ARROW_ROWS = 2_000
 
 
@@ -39,17 +39,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), ARROW_ROWS)) if int(before) > 0 else str(ARROW_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
+    small_batches(spark)
+    df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of rows in an Arrow batch to ARROW_ROWS, if it is higher or open."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
