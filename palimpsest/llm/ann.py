@@ -4,6 +4,7 @@ Vectors are dealt into blocks at random. In each, a Gaussian (2-stable) projecti
 projected neighbours in order of their distance, computes their true distances, and stops when the next one's projected
 distance is so large beside its k-th true distance that a closer vector is left with a probability under 1 - `sure`: the
 squared ratio of a pair's projected and true distances follows a chi-square distribution with `dims` degrees of freedom.
+Regions no further away than the projection's rounding are searched in any case, so all exact copies of a query are seen.
 Each block's k best then meet per query, with at most k rows for each block.
 
 Queries meet the blocks in a shuffle, so neither side is broadcast; a block holds at most about `block_rows` vectors, and
@@ -92,11 +93,13 @@ def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.nd
     """For each query (row number, ids of its k nearest found, their distances); vectors and queries are doubles."""
     plane = np.random.default_rng(SEED).standard_normal((vectors.shape[1], dims))
     tree, bound = Tree(vectors @ plane), chi_square_bound(sure, dims)
+    # equal vectors may be projected this far apart, squared, as products of matrices round by place: copies lie in many leaves
+    slack = dims * (4 * len(plane) * np.finfo(float).eps * np.linalg.norm(plane, axis=0).max() * np.linalg.norm(queries, axis=1)) ** 2
     for q, (v, at) in enumerate(zip(queries, queries @ plane, strict=True)):
         best_d, best_i = np.empty(0), np.empty(0, np.int64)
         for low, rows in tree.near(at):
             # the regions come nearest first, so all vectors left are projected at least this far away
-            if len(best_d) == k and low >= bound * best_d[-1] ** 2:
+            if len(best_d) == k and low > slack[q] and low >= bound * best_d[-1] ** 2:
                 break
             rows = rows[ids[rows] != own[q]]
             d = np.sqrt(((vectors[rows] - v) ** 2).sum(1))

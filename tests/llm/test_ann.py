@@ -58,6 +58,19 @@ def test_many_equal_vectors(spark):
     assert got == {q: [(0.0, i) for i in [x for x in range(12) if x != q][:10]] for q in (0, 100, 200, 300, 400)}
 
 
+@pytest.mark.parametrize("block_rows", [100_000, 900])
+@pytest.mark.parametrize("copies", [150, 1000])
+def test_copies_over_many_leaves_and_blocks(spark, block_rows, copies):
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((3000, 64))
+    vectors[[100, 200, *rng.permutation(3000)[:copies]]] = vectors[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rng.shuffle(rows)
+    got, want = found(ann.nearest(table(spark, rows), block_rows=block_rows)), plain(rows)
+    alike = [q for q in want if want[q][-1][0] == 0]
+    assert len(alike) > 1 and all(got[q] == want[q] for q in alike)
+
+
 def test_chi_square():
     assert abs(ann.chi_square(ann.chi_square_bound(0.95, 8), 8) - 0.95) < 1e-9
     assert abs(ann.chi_square_bound(0.95, 2) - 5.991464547) < 1e-6
