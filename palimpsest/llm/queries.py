@@ -69,10 +69,9 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from palimpsest.llm.slots import ordered
+    from palimpsest.llm.slots import token_slots
 
-    out = ordered(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "seq", "n_tokens", "slot", "shard", "offset", F.sha2("record", 256).alias("record_sha256"))
+    return token_slots(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:

@@ -4,7 +4,8 @@ Texts become ids of the tokenizer, each text's followed by the end id, cut into
 with the end id. Sequences are numbered as stored. A Feistel network over the smallest even number of bits that holds the
 count permutes the numbers under a key; a result beyond the count goes through it again (cycle walking), so the slots are
 exactly 0 to count - 1. A shard holds `per_shard` slots, records of one size: slot s is at byte s % per_shard * stride of
-shard s // per_shard, so a reader seeks to any slot and reads on from there.
+shard s // per_shard, so a reader seeks to any slot and reads on from there. Shards are files of Spark's text writer, as this is
+its only one that writes bytes as they are: `shard=N/part-*`, with one line feed after the last record.
 
 Null texts count as empty: one sequence, of the end id only. Repeated rows give a sequence each. An empty table gives none.
 """
@@ -13,18 +14,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import pattern, vocabulary
-from palimpsest.llm.shared import held, lean, stored
+from palimpsest.llm.shared import held, lean, shared_dir, stored
 
 VOCABULARY, LENGTH, PER_SHARD, KEY, ROUNDS = "byte_bpe_50k.tiktoken", 1024, 4096, "order-1", 6
 
@@ -94,8 +94,8 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run, keeps=True), "doc_id long, seq long, n_tokens long, record binary")
 
 
-def ordered(docs: DataFrame, key: str = KEY, per_shard: int = PER_SHARD, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """The sequences of docs with slot, shard and offset: partitions hold ranges of shards, sorted by slot."""
+def _numbered(docs: DataFrame, key: str, path: str | None, length: int) -> tuple[DataFrame, int]:
+    """The sequences of docs, stored, with their slots; and how many there are."""
     table = stored(sequences(docs, path, length), "sequences")
     table = table.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
     # One row a file: the numbers that precede its own.
@@ -108,56 +108,106 @@ def ordered(docs: DataFrame, key: str = KEY, per_shard: int = PER_SHARD, path: s
     def slot(file: pd.Series, at: pd.Series) -> pd.Series:
         return pd.Series(permuted(file.map(before).to_numpy(np.int64) + at.to_numpy(np.int64), count, key))
 
+    return table.withColumn("slot", slot("file", "at")).drop("file", "at"), count
+
+
+def _placed(table: DataFrame, count: int, per_shard: int) -> DataFrame:
     shards = max(1, -(-count // per_shard))
-    out = table.withColumn("slot", slot("file", "at")).drop("file", "at")
-    out = out.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
+    out = table.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
     out = out.withColumn("offset", (F.col("slot") - F.col("shard") * per_shard) * F.length("record"))
     return out.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
 
 
-def write_shards(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes what ordered() returns into a folder that executors and driver share; returns shard, path, records, bytes, sha256.
+def ordered(docs: DataFrame, key: str = KEY, per_shard: int = PER_SHARD, path: str | None = None, length: int = LENGTH) -> DataFrame:
+    """The sequences of docs with slot, shard and offset: partitions hold ranges of shards, sorted by slot."""
+    return _placed(*_numbered(docs, key, path, length), per_shard)
 
-    A shard appears under its name only when it is whole; one that is there already with the same bytes is left alone.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
-        open_shard, f, h, n, made = None, None, None, 0, []
+def token_slots(docs: DataFrame, folder: str | None = None, key: str = KEY, per_shard: int = PER_SHARD, path: str | None = None, length: int = LENGTH) -> DataFrame:
+    """Writes all shards of docs, then doc_id, seq, n_tokens, slot, shard, offset, record_sha256 of what the files hold.
 
-        def close() -> None:
-            f.close()
-            os.replace(f.name, path := shard_path(folder, open_shard))
-            made.append((open_shard, path, n, os.path.getsize(path), h.hexdigest()))
+    Without a folder the shards go to a new one in the shared folder. They stay there: `folder` in the metadata of the column
+    `shard` names it.
+    """
+    spark = docs.sparkSession
+    folder = folder or f"{shared_dir(spark)}/palimpsest/shards-{uuid.uuid4().hex}"
+    table, count = _numbered(docs, key, path, length)
+    stride = (table.select(F.length("record")).first() or [1])[0]
+    _write(_placed(table, count, per_shard), folder)
+    there = _files(spark, folder).agg(F.sum(F.expr(f"length div {stride}"))).first()[0] or 0
+    if there != count:
+        raise OSError(f"{folder} holds {there} of {count} records")
+    found = _records(spark, folder, stride, per_shard)
+    out = table.select("doc_id", "seq", "n_tokens", "slot").join(found, "slot")
+    return out.select("doc_id", "seq", "n_tokens", "slot", F.col("shard").alias("shard", metadata={"folder": folder}), "offset", "record_sha256")
+
+
+def _write(rows: DataFrame, folder: str) -> None:
+    """One text file a shard, of one line: its records, then a line feed. Spark's writer takes every path that Spark takes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_shard, parts = None, []
+        made = lambda: pa.RecordBatch.from_pydict({"shard": [open_shard], "content": [b"".join(parts)]})
         for b in batches:
             for shard, record in zip(b.column("shard").to_pylist(), b.column("record"), strict=True):
                 if shard != open_shard:
-                    if f:
-                        close()
-                    open_shard, f, h, n = shard, open(f"{shard_path(folder, shard)}.{uuid.uuid4().hex}", "wb"), hashlib.sha256(), 0  # noqa: SIM115
-                data = record.as_py()
-                f.write(data)
-                h.update(data)
-                n += 1
-        if f:
-            close()
-        if made:
-            yield pa.RecordBatch.from_pydict(dict(zip(("shard", "path", "records", "bytes", "sha256"), map(list, zip(*made, strict=True)), strict=True)))
+                    if parts:
+                        yield made()
+                    open_shard, parts = shard, []
+                parts.append(record.as_py())
+        if parts:
+            yield made()
 
-    return rows.mapInArrow(run, "shard long, path string, records long, bytes long, sha256 string")
+    whole = rows.select("shard", "record").mapInArrow(lean(run), "shard long, content binary")
+    whole = whole.select("shard", F.col("content").cast("string").alias("content"))
+    whole.write.mode("overwrite").partitionBy("shard").text(folder, compression="none", lineSep="\n")
 
 
-def shard_path(folder: str, shard: int) -> str:
-    return os.path.join(folder, f"shard-{shard:08d}.bin")
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """shard, path, length, content of the shards in a folder; length is without the line feed."""
+    found = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="part-*").load(folder)
+    return found.select(F.regexp_extract("path", "/shard=([0-9]+)/", 1).cast("long").alias("shard"), "path", (F.col("length") - 1).alias("length"), "content")
+
+
+def _records(spark: SparkSession, folder: str, stride: int, per_shard: int) -> DataFrame:
+    """slot, shard, offset, record_sha256 of each record in the shards of a folder."""
+    schema = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("offset", pa.int64()), ("record_sha256", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, content in zip(b.column("shard").to_pylist(), b.column("content"), strict=True):
+                data = memoryview(content.as_buffer())[:-1]
+                offsets = np.arange(0, len(data), stride)
+                digests = [hashlib.sha256(data[i : i + stride]).hexdigest() for i in offsets.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(shard * per_shard + offsets // stride), pa.array(np.full(len(offsets), shard)), pa.array(offsets), pa.array(digests)], schema=schema)
+
+    return _files(spark, folder).select("shard", "content").mapInArrow(lean(run), "slot long, shard long, offset long, record_sha256 string")
+
+
+def write_shards(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes what ordered() returns into a folder, whatever it held before; returns shard, path, records, bytes, sha256.
+
+    The folder is any path that Spark takes and all executors share. A shard appears under its name only when it is whole;
+    bytes and sha256 are without the line feed at its end.
+    """
+    stride = (rows.select(F.length("record")).first() or [1])[0]
+    _write(rows, folder)
+    data = F.expr("substring(content, 1, cast(length AS int))")
+    return _files(rows.sparkSession, folder).select("shard", "path", F.expr(f"length div {stride}").alias("records"), F.col("length").alias("bytes"), F.sha2(data, 256).alias("sha256"))
 
 
 def read_from(folder: str, slot: int, stride: int, per_shard: int = PER_SHARD) -> Iterator[bytes]:
-    """The records from a slot on, read in order."""
+    """The records from a slot on, read in order, by the driver's session."""
+    sc = SparkSession.active().sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(sc._jsc.hadoopConfiguration())
     shard, at = divmod(slot, per_shard)
-    while os.path.exists(path := shard_path(folder, shard)):
-        with open(path, "rb") as f:
+    while found := fs.globStatus(path(f"{folder}/shard={shard}/part-*")):
+        f = fs.open(found[0].getPath())
+        try:
             f.seek(at * stride)
-            while record := f.read(stride):
+            while len(record := bytes(f.readNBytes(stride))) == stride:
                 yield record
+        finally:
+            f.close()
         shard, at = shard + 1, 0

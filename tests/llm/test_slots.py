@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -55,3 +57,30 @@ def test_empty_table(documents):
 def test_repeated_rows_are_sequences_of_their_own(documents):
     got = slots.ordered(documents((1, "a"), (1, "a"), (None, "b"))).collect()
     assert sorted(r["slot"] for r in got) == [0, 1, 2] and sorted(str(r["doc_id"]) for r in got) == ["1", "1", "None"]
+
+
+def test_the_query_writes_its_shards_and_reports_them(spark, documents, prose, tmp_path, monkeypatch):
+    from palimpsest.llm.queries import op10_token_slots
+
+    documents(*{i: prose(i, 5 + 90 * i) for i in range(40)}.items(), (40, None)).write.parquet(str(tmp_path / "documents.parquet"))
+    want = slots.ordered(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()
+    monkeypatch.setattr(slots, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    df = op10_token_slots(spark, str(tmp_path))
+    got = sorted(df.collect(), key=lambda r: r["slot"])
+    stride = len(want[0]["record"])
+    held = list(slots.read_from(df.schema["shard"].metadata["folder"], 0, stride))
+    assert len(held) == len(got) == len(want)
+    assert [hashlib.sha256(x).hexdigest() for x in held] == [r["record_sha256"] for r in got]
+    assert sorted(held) == sorted(bytes(r["record"]) for r in want)
+    name = lambda r: (r["doc_id"], r["seq"], r["n_tokens"])
+    digest = {name(r): hashlib.sha256(r["record"]).hexdigest() for r in want}
+    assert all((r["shard"], r["offset"], digest[name(r)]) == (r["slot"] // 4096, r["slot"] % 4096 * stride, r["record_sha256"]) for r in got)
+
+
+def test_shards_go_to_any_path_of_spark(spark, documents, prose, tmp_path):
+    docs, folder = documents(*{i: prose(i, 300) for i in range(9)}.items()), f"file://{tmp_path}/some/where"
+    got = sorted(slots.token_slots(docs, folder, per_shard=8, length=32).collect(), key=lambda r: r["slot"])
+    held = list(slots.read_from(folder, 3, 64, 8))
+    assert len({r["shard"] for r in got}) > 3 and [r["slot"] for r in got] == list(range(len(got)))
+    assert [hashlib.sha256(x).hexdigest() for x in held] == [r["record_sha256"] for r in got[3:]]
+    assert slots.token_slots(docs.limit(0), f"file://{tmp_path}/none").collect() == []
