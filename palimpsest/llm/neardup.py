@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from palimpsest.llm.components import components
 from palimpsest.llm.shared import lean, small_side, stored
@@ -249,6 +250,11 @@ def _clusters(linker: _Linker, rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small: int = SMALL_BUCKET) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept, a row each."""
+    return _judged(docs, n, percent, small).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, n: int, percent: int, small: int = SMALL_BUCKET) -> DataFrame:
+    """What near_duplicates returns, with set_key and root: which tell documents and components of one id apart."""
     own = docs.select("doc_id", "text")
     marks = stored(sketches(own, n), "sketches")
     first = F.min_by(F.struct("doc_id", "n_shingles", "bands", "sketch"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x")
@@ -272,17 +278,46 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, s
 
     roots = stored(linker.labelled(nodes.select("node", "set_key", "first")), "roots")
     lowest = stored(roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "lowest")
-    ids = roots.join(small_side(lowest, IDS_BROADCAST), "root", "left").select("set_key", F.coalesce("component_id", "first").alias("component_id"))
+    ids = roots.join(small_side(lowest, IDS_BROADCAST), "root", "left").select("set_key", "root", F.coalesce("component_id", "first").alias("component_id"))
     out = marks.select("doc_id", "n_shingles", "set_key").join(stored(ids, "components"), "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "set_key", "root")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that are kept: of each component the document with the smallest id."""
-    dropped = stored(near_duplicates(docs, n, percent).where("NOT kept").select("doc_id").distinct(), "dropped")
-    return docs.join(small_side(dropped, IDS_BROADCAST), "doc_id", "left_anti")
+    """The rows of docs that are kept: one of each component, of a document with the smallest id. Rows with the empty set all stay.
+
+    Rows are told by their ids where these are theirs alone. Null and repeated ones are told by id and set: of several sets
+    with the smallest id in a component the one with the smallest key stays, and of the rows that repeat it that with the
+    smallest text.
+    """
+    rows = stored(_judged(docs, n, percent).select("doc_id", "set_key", "root", "kept"), "judged")
+    loose = stored(rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "loose-ids")
+    if loose.isEmpty():
+        dropped = stored(rows.where("NOT kept").select("doc_id"), "dropped")
+        return docs.join(small_side(dropped, IDS_BROADCAST), "doc_id", "left_anti")
+    dropped = stored(rows.where("NOT kept").select("doc_id").unionByName(loose).where("doc_id IS NOT NULL").distinct(), "dropped")
+    own = docs.where("doc_id IS NOT NULL").join(small_side(dropped, IDS_BROADCAST), "doc_id", "left_anti")
+
+    ids = small_side(loose, IDS_BROADCAST)
+    among = rows.where("kept AND set_key IS NOT NULL").withColumnRenamed("doc_id", "id").join(ids, F.col("id").eqNullSafe(ids["doc_id"]), "left_semi")
+    stays = stored(among.groupBy("root").agg(F.min(F.struct("set_key", "id")).alias("x")).select("x.*"), "staying")
+    others = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    others = others.join(ids, F.col("id").eqNullSafe(ids["doc_id"]), "left_semi")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = pa.array([_key(shingles(t.as_py(), n)) for t in b.column("text")], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, keys], [*b.schema.names, "set_key"])
+
+    schema = StructType([*others.schema.fields, StructField("set_key", StringType())])
+    others = stored(others.mapInArrow(lean(keyed), schema), "told-by-set")
+    side = small_side(stays.select(F.col("set_key").alias("k"), F.col("id").alias("i")), IDS_BROADCAST)
+    found = others.join(side, (F.col("set_key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
+    found = found.groupBy("set_key", "id").agg(F.min_by("row", "text").alias("row")).select("row")
+    bare = others.where("set_key IS NULL").select("row")
+    return own.unionByName(found.unionByName(bare).select("row.*"))
 
 
 def similarity(a: str | None, b: str | None, n: int = SHINGLE) -> float:

@@ -78,6 +78,18 @@ def test_null_ids_and_empty_tables(documents, prose):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4] and kept.columns == docs.columns
 
 
+def test_one_row_of_each_component_stays_where_ids_repeat_or_are_null(documents, prose, clashing):
+    a, b, c, d, e = (prose(i) for i in range(10, 15))
+    rows = [(3, b), (5, b), (5, a), (9, a), (5, c), (5, c.upper()), (None, b), (None, d), (None, d), (7, ""), (7, e), (7, f"{e} more"), (None, ""), (8, None), (8, None)]
+    docs = clashing(documents(*rows))
+    kept = neardup.deduplicated(docs)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    sevens = [x for x in got if x[0] == 7 and x[1]]
+    assert len(sevens) == 1 and sevens[0] in rows
+    assert sorted([x for x in got if x not in sevens], key=str) == sorted([(3, b), (5, a), (5, c.upper()), (None, d), (7, ""), (None, ""), (8, None), (8, None)], key=str)
+    assert kept.dtypes == docs.dtypes and {r["kept"] for r in kept.collect()} == {"own kept"}
+
+
 def test_sketches_estimate_the_similarity(prose):
     rng = random.Random(2)
     for edits in (0, 1, 3, 6, 30):
