@@ -3,7 +3,9 @@
 Features are the shares of hashed character n-grams (1 to 3) over lower-cased letters, with anything else as a blank. The
 family is the largest of one-versus-rest SVMs; within it each pair of languages has an SVM, votes decide, then margins.
 A model is fitted on a bounded sample of labelled rows: about `sample` rows in all, the same number of each language, drawn
-by a hash of the id. It is a table of weights by feature, sent to the executors; its size depends on the languages only.
+by a hash of the id. Every label is learned, however rare: with more than `sample` / `EACH` of them, about `EACH` rows of each are
+drawn, or all that there are. The model is a table of weights by feature, sent to the executors; its size depends on the languages
+only: 256 KB a family, and as much for each pair of languages in one.
 
 A text that is null or has no letter is `und`, with score 0; so is any text if there is nothing to learn from. Null labels
 and null ids are never learned from. With one language all texts with a letter are that, with score 1. Labels are used as
@@ -40,8 +42,8 @@ FAMILIES = {
     "austronesian": "id jv mg ms su tl",
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
-#: Rows learned from, at most; languages, at most (the most frequent); bits of a feature's number; passes of the fit.
-SAMPLE, LANGUAGES, BITS, EPOCHS, COST = 2400, 150, 16, 12, 4.0
+#: Rows learned from, but for more languages; rows of a language, at least; bits of a feature's number; passes of the fit.
+SAMPLE, EACH, BITS, EPOCHS, COST = 2400, 16, 16, 12, 4.0
 D = 1 << BITS
 CHUNK = 1_000_000
 
@@ -201,15 +203,15 @@ def fitted(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
     scaled = [(np.append(at, D), np.append(v / norm, 0.3)) for at, v in scaled]
 
     def raw(w: np.ndarray) -> tuple[np.ndarray, float]:
-        return w[:D] * scale / norm, 0.3 * w[D]
+        return (w[:D] * scale / norm).astype(np.float32), 0.3 * w[D]
 
     found, pairs = [], [p for f in families for p in itertools.combinations(f, 2)]
     for f in families:
-        found.append(raw(svm(scaled, np.where(np.isin(lang, f), 1, -1))) if len(families) > 1 else (np.zeros(D), 0.0))
+        found.append(raw(svm(scaled, np.where(np.isin(lang, f), 1, -1))) if len(families) > 1 else (np.zeros(D, np.float32), 0.0))
     for a, b in pairs:
         own = np.flatnonzero((lang == a) | (lang == b))
         found.append(raw(svm([scaled[i] for i in own], np.where(lang[own] == a, 1, -1))))
-    return Model(langs, families, pairs, np.stack([w for w, _ in found], 1).astype(np.float32), np.array([b for _, b in found]))
+    return Model(langs, families, pairs, np.stack([w for w, _ in found], 1), np.array([b for _, b in found]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -220,9 +222,11 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of docs (doc_id, text, lang) that are not held out."""
     own = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
+    if len(counts) * EACH > SAMPLE:
+        sample = max(sample, len(counts) * EACH)
     each = -(-sample // len(counts))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 32))
     below = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1 << 32, int(each / r["count"] * (1 << 32)))))])

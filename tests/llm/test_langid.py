@@ -61,3 +61,14 @@ def test_long_texts_are_counted_whole(monkeypatch):
     monkeypatch.setattr(langid, "CHUNK", 70)
     parts = [h for h, _, _ in langid.hashed([s])]
     assert len(parts) > 10 and sum(h.shape[1] for h in parts) == whole
+
+
+def test_every_label_is_learned(documents):
+    rng = random.Random(4)
+    words = {f"x{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(170)}
+    rows = [(i * 200 + k, " ".join(rng.choices(words[x], k=12)), x) for k, x in enumerate(words) for i in range(12 if k < 150 else 7)]
+    docs = documents(*rows)
+    model = langid.fit(docs)
+    assert model.langs == sorted(words)
+    got = [(r["lang"], r["lang_pred"]) for r in langid.identify(docs, model).collect() if r["lang"] >= "x150"]
+    assert len(got) == 140 and sum(x == y for x, y in got) >= 0.9 * len(got)
