@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -48,6 +49,28 @@ def test_often_repeated_windows_and_small_groups(documents, prose, monkeypatch):
     check(documents, rows, 13)
 
 
+@pytest.mark.parametrize("broadcast", [32_000_000, 0])
+def test_many_slices_and_groups_are_dealt_by_digits(documents, prose, monkeypatch, broadcast):
+    # Five slices or more and as many groups by threes: two or three dealings each way; often repeated windows in parts.
+    for name, value in {"FAN": 3, "SLICE_WINDOWS": 60, "GROUP_CHARS": 400, "HELD": 50, "OFTEN": 4, "BROADCAST_BYTES": broadcast, "PARTS": 2, "PART_ROWS": 3}.items():
+        monkeypatch.setattr(substr, name, value)
+    assert substr.widths(1) == [1] and substr.widths(3) == [1] and substr.widths(4) == [3, 1] and substr.widths(10) == [9, 3, 1]
+    rows = [(i, f"{prose(i, 12)} {prose(7, 25)} {prose(-i, 5)}") for i in range(20)] + [(50 + i, prose(i, 40)) for i in range(9)] + [(80 + i, prose(3, 40)) for i in range(9)]
+    check(documents, rows + [(81, prose(3, 40))] * 3 + [(None, prose(3, 40)), (90, None)], 13)
+
+
+def test_copies_go_through_the_sketch(documents, prose):
+    rows = [(i, prose(i // 30, 40)) for i in range(120)] + [(7, prose(9, 40))] * 5
+    check(documents, rows, 13)
+
+
+def test_columns_may_have_any_names(documents, prose):
+    names = ("grp", "tk", "h1", "h2", "first", "runs", "row", "part", "listed", "more", "starts", "places", "often", "kind", "__id", "__runs")
+    docs = documents((1, prose(1, 30)), (2, prose(1, 30))).selectExpr("*", *[f"'own' AS {c}" for c in names])
+    got = sorted(substr.dedup(docs).collect(), key=lambda r: r["doc_id"])
+    assert [r["n_removed"] for r in got] == [0, 30] and all(r[c] == "own" for r in got for c in names)
+
+
 def test_empty_table(documents):
     assert substr.dedup(documents((1, "a")).limit(0)).count() == 0
 
