@@ -1,13 +1,20 @@
 """Token output in training order: a keyed permutation gives every sequence a slot, shards hold the slots in order.
 
-Texts become ids of the tokenizer, each text's followed by the end id, cut into sequences of `length` ids; the last is padded
-with the end id. Sequences are numbered as stored. A Feistel network over the smallest even number of bits that holds the
-count permutes the numbers under a key; a result beyond the count goes through it again (cycle walking), so the slots are
-exactly 0 to count - 1. A shard holds `per_shard` slots, records of one size: slot s is at byte s % per_shard * stride of
-shard s // per_shard, so a reader seeks to any slot and reads on from there. Shards are files of Spark's text writer, as this is
-its only one that writes bytes as they are: `shard=N/part-*`, with one line feed after the last record.
-
-Null texts count as empty: one sequence, of the end id only. Repeated rows give a sequence each. An empty table gives none.
+Texts become ids of the tokenizer, each text's followed by the end id. Documents follow each other in the order of their ids
+(null first) and then of a hash of their texts, so their order, and all that comes of it, does not depend on how the table is
+stored or dealt. The stream of ids is cut into sequences of `length`: one sequence may hold the end of a document, whole ones
+and the beginning of another; only the very last is padded, with the end id. No window numbers the documents: a task adds up
+its range of them, and the sums of all ranges, one row each, come before it.
+
+A Feistel network over the smallest even number of bits that holds the count permutes the sequences' numbers under a key; a
+result beyond the count goes through it again (cycle walking), so the slots are exactly 0 to count - 1. A shard holds
+`per_shard` slots, records of one size: slot s is at byte s % per_shard * stride of shard s // per_shard, so a reader seeks to
+any slot and reads on from there. A task writes a range of shards; there are at most `TASKS`, so more tokens mean more shards
+for each. Shards are files of Spark's text writer, as this is its only one that writes bytes as they are: `shard=N/part-*`, with
+one line feed after the last record.
+
+Null texts count as empty: the end id only. Rows that repeat are documents of their own. A very long text is held whole by one
+task, as ids in pieces. An empty table gives no sequence. Of other columns none is read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,6 +35,8 @@ from palimpsest.llm.bpe import pattern, vocabulary
 from palimpsest.llm.shared import held, lean, shared_dir, stored
 
 VOCABULARY, LENGTH, PER_SHARD, KEY, ROUNDS = "byte_bpe_50k.tiktoken", 1024, 4096, "order-1", 6
+#: Tasks that write shards, at most.
+TASKS = 16_384
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,8 +72,28 @@ def _encoding(ranks: bytes, pat: str):
     return held(("slots", hashlib.sha256(ranks + pat.encode()).hexdigest()), make)
 
 
-def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, seq (from 0), n_tokens (without padding), record: length ids, little-endian."""
+@dataclass(frozen=True)
+class Stream:
+    """The documents' ids one after the other: a stored table (doc_id, n, ids, start) and what follows from its sums."""
+
+    table: DataFrame
+    tokens: int
+    length: int
+    end: int
+    kind: str
+
+    @property
+    def count(self) -> int:
+        """Sequences."""
+        return -(-self.tokens // self.length)
+
+    @property
+    def stride(self) -> int:
+        return self.length * np.dtype(self.kind).itemsize
+
+
+def stream(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Stream:
+    """Encodes docs (doc_id, text) in their order; start is the number of ids before a document's own."""
     if path is None:
         import public_tokenizers
 
@@ -72,74 +102,135 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
     end = len(raw.split()) // 2
     kind, pat = ("<u2" if end < 2**16 else "<u4"), pattern()
     ranks = docs.sparkSession.sparkContext.broadcast(raw)
-    schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), ("n_tokens", pa.int64()), ("record", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, rows, held = _encoding(ranks.value, pat), [], 0
+        encoding, at = _encoding(ranks.value, pat), 0
         for b in batches:
+            rows, held = [], 0
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids = np.array([*encoding.encode_ordinary(text.as_py() or ""), end], kind)
-                n = len(ids)
-                ids = np.concatenate([ids, np.full(-n % length, end, kind)]).tobytes()
-                stride = length * np.dtype(kind).itemsize
-                for i in range(0, len(ids), stride):
-                    rows.append((doc_id, i // stride, min(length, n - i // stride * length), ids[i : i + stride]))
-                held += len(ids)
-                if held > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows.append((doc_id, len(ids), at, ids.tobytes()))
+                at, held = at + len(ids), held + len(ids)
+                if held > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    names, kinds = ["doc_id", "n", "at", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    # The last column deals rows that are alike in all others, in whatever order.
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.monotonically_increasing_id().alias("like"), "text")
+    dealt = dealt.repartitionByRange("doc_id", "hash", "like").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
+    table = stored(dealt.mapInArrow(lean(run, keeps=True), "doc_id long, n long, at long, ids binary"), "token-stream")
+    table = table.withColumn("range", F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("long"))
+    # One row a file, which is a task's range of documents: the ids that precede its own.
+    sums, before, tokens = table.groupBy("range").agg(F.max(F.col("at") + F.col("n")).alias("n")).orderBy("range").collect(), [], 0
+    for r in sums:
+        before.append((r["range"], tokens))
+        tokens += r["n"]
+    ranges = F.broadcast(docs.sparkSession.createDataFrame(before, "range long, before long"))
+    return Stream(table.join(ranges, "range").select("doc_id", "n", "ids", (F.col("before") + F.col("at")).alias("start")), tokens, length, end, kind)
+
+
+def _slot(count: int, key: str):
+    @F.pandas_udf("long")
+    def slot(number: pd.Series) -> pd.Series:
+        return pd.Series(permuted(number.to_numpy(np.int64), count, key))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run, keeps=True), "doc_id long, seq long, n_tokens long, record binary")
+    return slot
 
 
-def _numbered(docs: DataFrame, key: str, path: str | None, length: int) -> tuple[DataFrame, int]:
-    """The sequences of docs, stored, with their slots; and how many there are."""
-    table = stored(sequences(docs, path, length), "sequences")
-    table = table.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-    # One row a file: the numbers that precede its own.
-    files = table.groupBy("file").agg(F.count("*").alias("n")).orderBy("file").collect()
-    before, count = {}, 0
-    for f in files:
-        before[f["file"]], count = count, count + f["n"]
+def _pieces(s: Stream, key: str) -> DataFrame:
+    """slot, off, ids: each document's part in each sequence that it is in; off is its place there, in bytes."""
+    length, wide, count = s.length, np.dtype(s.kind).itemsize, s.count
+    schema = pa.schema([("slot", pa.int64()), ("off", pa.int64()), ("ids", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number, off, ids, held = [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                slots = permuted(np.array(number, np.int64), count, key)
+                return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(off, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+
+            for start, own in zip(b.column("start").to_pylist(), b.column("ids"), strict=True):
+                own = own.as_py()
+                at, low = start, 0
+                while low < len(own):
+                    size = min((length - at % length) * wide, len(own) - low)
+                    number.append(at // length)
+                    off.append(at % length * wide)
+                    ids.append(own[low : low + size])
+                    at, low, held = at + size // wide, low + size, held + size
+                    if held > 4_000_000:
+                        yield made()
+                        number, off, ids, held = [], [], [], 0
+            if number:
+                yield made()
+
+    return s.table.select("start", "ids").mapInArrow(lean(run), "slot long, off long, ids binary")
 
-    @F.pandas_udf("long")
-    def slot(file: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series(permuted(file.map(before).to_numpy(np.int64) + at.to_numpy(np.int64), count, key))
 
-    return table.withColumn("slot", slot("file", "at")).drop("file", "at"), count
+def ordered(s: Stream, key: str = KEY, per_shard: int = PER_SHARD) -> DataFrame:
+    """slot, shard, offset, record of all sequences: partitions hold ranges of shards, sorted by slot."""
+    shards = max(1, -(-s.count // per_shard))
+    tasks = min(shards, TASKS)
+    shard = F.floor(F.col("slot") / per_shard).cast("long")
+    # Slots are dealt evenly, so their ranges need no sample.
+    rows = _pieces(s, key).repartitionById(tasks, F.floor(shard * tasks / shards).cast("int")).sortWithinPartitions("slot", "off")
+    stride, pad = s.stride, np.array([s.end], s.kind).tobytes()
+    schema = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("offset", pa.int64()), ("record", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, records, now, parts = [], [], None, []
 
+        def made() -> pa.RecordBatch:
+            at = np.array(slots, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(at // per_shard), pa.array(at % per_shard * stride), pa.array(records, pa.binary())], schema=schema)
 
-def _placed(table: DataFrame, count: int, per_shard: int) -> DataFrame:
-    shards = max(1, -(-count // per_shard))
-    out = table.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
-    out = out.withColumn("offset", (F.col("slot") - F.col("shard") * per_shard) * F.length("record"))
-    return out.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
+        def closed() -> bytes:
+            whole = b"".join(parts)
+            return whole + pad * ((stride - len(whole)) // len(pad))
 
+        for b in batches:
+            for slot, ids in zip(b.column("slot").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                if slot != now:
+                    if parts:
+                        slots.append(now)
+                        records.append(closed())
+                        if len(records) * stride > 4_000_000:
+                            yield made()
+                            slots, records = [], []
+                    now, parts = slot, []
+                parts.append(ids)
+        if parts:
+            slots.append(now)
+            records.append(closed())
+        if records:
+            yield made()
 
-def ordered(docs: DataFrame, key: str = KEY, per_shard: int = PER_SHARD, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """The sequences of docs with slot, shard and offset: partitions hold ranges of shards, sorted by slot."""
-    return _placed(*_numbered(docs, key, path, length), per_shard)
+    return rows.mapInArrow(lean(run), "slot long, shard long, offset long, record binary")
 
 
 def token_slots(docs: DataFrame, folder: str | None = None, key: str = KEY, per_shard: int = PER_SHARD, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """Writes all shards of docs, then doc_id, seq, n_tokens, slot, shard, offset, record_sha256 of what the files hold.
+    """Writes all shards of docs, then slot, shard, offset, n_tokens, doc_ids, record_sha256 of what the files hold, a row a sequence.
 
-    Without a folder the shards go to a new one in the shared folder. They stay there: `folder` in the metadata of the column
-    `shard` names it.
+    n_tokens is without padding; doc_ids are the documents in the sequence, in order. Without a folder the shards go to a new
+    one in the shared folder. They stay there: `folder` in the metadata of the column `shard` names it.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/palimpsest/shards-{uuid.uuid4().hex}"
-    table, count = _numbered(docs, key, path, length)
-    stride = (table.select(F.length("record")).first() or [1])[0]
-    _write(_placed(table, count, per_shard), folder)
-    there = _files(spark, folder).agg(F.sum(F.expr(f"length div {stride}"))).first()[0] or 0
-    if there != count:
-        raise OSError(f"{folder} holds {there} of {count} records")
-    found = _records(spark, folder, stride, per_shard)
-    out = table.select("doc_id", "seq", "n_tokens", "slot").join(found, "slot")
-    return out.select("doc_id", "seq", "n_tokens", "slot", F.col("shard").alias("shard", metadata={"folder": folder}), "offset", "record_sha256")
+    s = stream(docs, path, length)
+    _write(ordered(s, key, per_shard), folder)
+    there = _files(spark, folder).agg(F.sum(F.expr(f"length div {s.stride}"))).first()[0] or 0
+    if there != s.count:
+        raise OSError(f"{folder} holds {there} of {s.count} records")
+    number = F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("n") - 1) / length)))
+    # a sequence holds at most `length` documents, as each has an end id
+    names = s.table.select("start", "doc_id", number.alias("number")).groupBy("number").agg(F.array_sort(F.collect_list(F.struct("start", "doc_id"))).alias("docs"))
+    names = names.select(_slot(s.count, key)("number").alias("slot"), F.least(F.lit(length), F.lit(s.tokens) - F.col("number") * length).cast("long").alias("n_tokens"), F.col("docs.doc_id").alias("doc_ids"))
+    out = names.join(_records(spark, folder, s.stride, per_shard), "slot")
+    return out.select("slot", F.col("shard").alias("shard", metadata={"folder": folder}), "offset", "n_tokens", "doc_ids", "record_sha256")
 
 
 def _write(rows: DataFrame, folder: str) -> None:
