@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from palimpsest.operators.resolve import latest
 from palimpsest.schema import PUT
 from palimpsest.sources.store import Store
 
@@ -26,14 +28,24 @@ def live_rows(state: DataFrame) -> DataFrame:
 
 
 def into_store(log: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Appends what a streaming log (key, value, op, at) has now to a store, a run for each micro-batch.
+    """Appends what a streaming log (key, value, op, at) has now to a store, a run for each micro-batch, exactly once.
 
-    A micro-batch that is run again after a failure is written again; its rows are the same, so what is live does not change.
+    The manifest that commits a batch also holds its number, by the checkpoint's name. A micro-batch that is run again after a
+    failure, in whatever order with other writers' batches, is found there and not written again.
     """
-    write: Callable[[DataFrame, int], None] = lambda batch, _: store.write(batch, order="at")
+    write: Callable[[DataFrame, int], None] = lambda batch, number: store.write(batch, order="at", batch=(checkpoint, number))
     return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def into_table(state: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the state in an in-memory table of the session, for tests and small tools: the whole state reaches the driver."""
-    return state.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def into_folder(state: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Writes the rows of a state that each micro-batch has changed to a folder of its own; state_of() reads them back.
+
+    A micro-batch that is run again replaces its folder. Nothing but the query's progress reaches the driver.
+    """
+    write: Callable[[DataFrame, int], None] = lambda changed, number: changed.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    return state.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def state_of(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The newest state of each key in a folder of into_folder()."""
+    return latest(spark.read.schema(schema).parquet(f"{folder}/batch=*"))
