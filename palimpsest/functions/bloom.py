@@ -65,10 +65,19 @@ def with_hashes(df: DataFrame, key: str = "key") -> DataFrame:
     return df.withColumns({"h1": one, "h2": two})
 
 
-def positions(bits: int, count: int) -> Column:
+def sizes(n: Column, fpr: float) -> tuple[Column, Column]:
+    """sizing() of a column of counts."""
+    bits = F.greatest(F.lit(MIN_BITS).cast("long"), F.ceil(-n * F.lit(math.log(fpr)) / F.lit(math.log(2) ** 2)))
+    hashes = F.least(F.lit(MAX_HASHES).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(bits / n * F.lit(math.log(2)) + F.lit(0.5))))
+    return F.floor((bits + 7) / 8) * 8, hashes
+
+
+def positions(bits: Column | int, count: Column | int) -> Column:
     """The distinct bits of the columns h1 and h2."""
-    at = lambda i: (F.col("h1") + i * F.col("h2")).bitwiseAND(F.lit(M32)) % bits
-    return F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")), at))
+    bits, count = (F.lit(x) if isinstance(x, int) else x for x in (bits, count))
+    # Both hashes are bound to a variable first: named within the inner function, each would be worked out for each position.
+    places = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long")), lambda i: (h["h1"] + i * h["h2"]).bitwiseAND(F.lit(M32)) % bits))
+    return _once(F.struct("h1", "h2"), places)
 
 
 def build(keys: DataFrame, bits: int, count: int, key: str = "key") -> DataFrame:
@@ -76,6 +85,14 @@ def build(keys: DataFrame, bits: int, count: int, key: str = "key") -> DataFrame
     return with_hashes(keys, key).select(F.explode(positions(bits, count)).alias("pos")).distinct()
 
 
+def build_each(keys: DataFrame, fpr: float, by: str = "run", key: str = "key") -> DataFrame:
+    """keys (by, key) -> by, pos: a filter for each group, of the size that its count of distinct keys asks for."""
+    keys = keys.select(by, key).distinct()
+    bits, count = sizes(F.col("n"), fpr)
+    sized = keys.groupBy(by).agg(F.count("*").alias("n")).select(by, bits.alias("bits"), count.alias("count"))
+    return with_hashes(keys, key).join(sized, by).select(by, F.explode(positions(F.col("bits"), F.col("count"))).alias("pos")).distinct()
+
+
 def as_bytes(filter_bits: DataFrame, bits: int) -> bytes:
     """A built filter as bytes, lowest bit first; the driver holds bits / 8 bytes."""
     per_byte = filter_bits.groupBy(F.floor(F.col("pos") / 8).alias("at")).agg(F.sum(F.call_function("shiftleft", F.lit(1), (F.col("pos") % 8).cast("int"))).alias("b"))

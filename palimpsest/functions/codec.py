@@ -20,6 +20,36 @@ def u64le(n: Column) -> Column:
     return le_bytes(n, 8)
 
 
+def le_number(data: Column, at: Column | int, size: int) -> Column:
+    """The signed integer in `size` bytes from the place `at` (from 0) on, lowest first; null if they are not all there."""
+    at = F.lit(at) if isinstance(at, int) else at
+    digits = F.hex(F.substring(data, at.cast("int") + 1, F.lit(size)))
+    turned = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
+    return F.when((at >= 0) & (F.octet_length(data) >= at + size), F.conv(turned, 16, -10).cast("long"))
+
+
+def u32le_at(data: Column, at: Column | int) -> Column:
+    return le_number(data, at, 4)
+
+
+def u64le_at(data: Column, at: Column | int) -> Column:
+    return le_number(data, at, 8)
+
+
+#: Bytes before the key in a sorted run's record.
+RUN_HEADER = 17
+
+
+def run_record_fields(data: Column) -> Column:
+    """The struct (op, seq, key, value) of a sorted run's record; null if it is not exactly one. Deletions have no value."""
+    keys, values = u32le_at(data, 9), u32le_at(data, 13)
+    whole = F.coalesce((keys > 0) & (values >= 0) & (F.octet_length(data) == RUN_HEADER + keys + values), F.lit(False))
+    op = le_number(data, 0, 1)
+    value = F.when(op != 0, F.substring(data, RUN_HEADER + 1 + keys.cast("int"), values.cast("int")))
+    fields = F.struct(op.alias("op"), u64le_at(data, 1).alias("seq"), F.substring(data, F.lit(RUN_HEADER + 1), keys.cast("int")).alias("key"), value.alias("value"))
+    return F.when(whole & op.isin(0, 1), fields)
+
+
 def run_record(op: Column, seq: Column, key: Column, value: Column) -> Column:
     """A sorted run's record: operation, seq, lengths, key and value."""
     v = F.coalesce(value, F.lit(b""))
@@ -40,6 +70,11 @@ def field(text: Column, i: int, separator: str = "|", missing: str = "?") -> Col
     return F.coalesce(F.get(tokens(text, separator), F.lit(i)), F.lit(missing))
 
 
+def product_id(n: Column) -> Column:
+    """P and the number with at least three digits."""
+    return F.format_string("P%03d", n)
+
+
 def csv_rows(lines: DataFrame) -> DataFrame:
     """lines (line_no from 1, line) -> id, name, category, price, status: the first line and blank ones are skipped.
 

@@ -41,6 +41,6 @@ def resolvable(index: DataFrame, main: DataFrame, key: str) -> DataFrame:
     return lookup_primary(index).join(main, F.col("primary") == F.col(key), "left_semi")
 
 
-def delete(index: DataFrame, main: DataFrame, removed: DataFrame) -> DataFrame:
+def delete(index: DataFrame, removed: DataFrame) -> DataFrame:
     """Index rows to append as removed (secondary, primary, seq) leave the main table: only entries that lead to them go."""
     return removed.join(lookup_primary(index), ["secondary", "primary"]).select(F.col("secondary").alias("key"), "seq", F.lit(DELETE).alias("op"), F.lit(None).cast(index.schema["value"].dataType).alias("value"))

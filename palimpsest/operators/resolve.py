@@ -77,10 +77,18 @@ def key_range(log: DataFrame, low=None, high=None) -> DataFrame:
     return live(log).orderBy("key")
 
 
-def versions(log: DataFrame) -> DataFrame:
-    """Every version with its rank within its key, newest first."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("seq").desc()))
-    return log.withColumn("version", rank)
+#: Sequence numbers in a stretch. As they are unique, no task of a window by key and stretch gets more versions, however hot a key is.
+STRETCH = 1_000_000
+
+
+def versions(log: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Every version with its rank within its key, newest first: the rank within a stretch, after the newer stretches' counts."""
+    rows = log.withColumn("stretch", F.floor(F.col("seq") / stretch))
+    newer = F.sum("n").over(Window.partitionBy("key").orderBy(F.col("stretch").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    before = rows.groupBy("key", "stretch").agg(F.count("*").alias("n")).select("key", "stretch", F.coalesce(newer, F.lit(0)).alias("newer"))
+    rank = F.row_number().over(Window.partitionBy("key", "stretch").orderBy(F.col("seq").desc()))
+    ranked = rows.withColumn("version", rank).join(before, ["key", "stretch"])
+    return ranked.select(*log.columns, (F.col("version") + F.col("newer")).cast("int").alias("version"))
 
 
 def ordered(log: DataFrame) -> DataFrame:
@@ -119,6 +127,24 @@ def run_meta(log: DataFrame) -> DataFrame:
     )
 
 
+def run_blocks(runs: DataFrame, size: int = 4096, used: int = 8, header: int = 17) -> DataFrame:
+    """run, blocks: how many blocks of `size` bytes, `used` of them for itself, a flushed run's records fill in the order of their keys.
+
+    A record never crosses blocks. A run is as large as a writer lets a batch become, so its sizes fit into one array.
+    """
+    bytes_of = header + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    room, wide = size - used, 1 << 20
+    # Blocks and the bytes taken of the last one are one number.
+    step = lambda s, r: F.when(s % wide + r["n"] > room, (F.floor(s / wide) + 1) * wide + r["n"]).otherwise(s + r["n"])
+    of = flush(runs).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("key", bytes_of.cast("long").alias("n")))).alias("records"))
+    return of.select("run", F.floor(F.aggregate("records", F.lit(wide).cast("long"), step) / wide).alias("blocks"))
+
+
+def any_live(log: DataFrame) -> DataFrame:
+    """One row, any_live: whether a key is live."""
+    return live(log).agg((F.count("*") > 0).alias("any_live"))
+
+
 def compact(runs: DataFrame) -> DataFrame:
     """key, seq, value after merging runs: the newest run wins, then deletions go."""
     return latest(runs, order=("run", "seq")).where(F.col("op") == PUT).drop("op")
@@ -130,15 +156,21 @@ def compact_stats(runs: DataFrame) -> DataFrame:
     return top.agg(F.sum("n").alias("rows_in"), F.count("*").alias("keys"), F.count_if(F.col("op") == PUT).alias("rows_out"))
 
 
-def as_of_join(probes: DataFrame, log: DataFrame) -> DataFrame:
+def as_of_join(probes: DataFrame, log: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """probes (key, at) -> key, at, seq, op, value: for each probe the latest version with seq <= at, null if there is none.
 
-    Probes and log meet in one sorted window by key, so a key's probes and versions never multiply.
+    Probes and log meet in a sorted window by key and stretch, so a key's probes and versions never multiply; a probe before
+    all versions of its stretch takes the newest one of the key's earlier stretches, of which each gives one row.
     """
-    a = log.select("key", F.col("seq").alias("at"), F.lit(0).alias("probe"), F.struct("seq", "op", "value").alias("hit"))
-    b = probes.select("key", "at", F.lit(1).alias("probe"), F.lit(None).cast(a.schema["hit"].dataType).alias("hit"))
-    seen = Window.partitionBy("key").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = lambda at: F.floor(F.col(at) / stretch).alias("stretch")
+    a = log.select("key", place("seq"), F.col("seq").alias("at"), F.lit(0).alias("probe"), F.struct("seq", "op", "value").alias("hit"))
+    b = probes.select("key", place("at"), "at", F.lit(1).alias("probe"), F.lit(None).cast(a.schema["hit"].dataType).alias("hit"))
+    seen = Window.partitionBy("key", "stretch").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = a.unionByName(b).withColumn("hit", F.last("hit", ignorenulls=True).over(seen)).where("probe = 1")
+    earlier = F.last("top", ignorenulls=True).over(Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    tops = a.unionByName(b).groupBy("key", "stretch").agg(F.max_by("hit", F.when(F.col("probe") == 0, F.col("at"))).alias("top"))
+    tops = tops.select("key", "stretch", earlier.alias("earlier")).where("earlier IS NOT NULL")
+    found = found.join(tops, ["key", "stretch"], "left").withColumn("hit", F.coalesce("hit", "earlier"))
     return found.select("key", "at", "hit.seq", "hit.op", "hit.value")
 
 

@@ -10,7 +10,7 @@ from palimpsest.operators import index, recovery, resolve
 from palimpsest.schema import status_name
 
 RUN_EVENTS = 500
-BLOOM_BITS, BLOOM_HASHES = 480, 7
+BLOOM_FPR = 0.01
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,14 @@ def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.lookup_primary(index_log(spark, sf_dir, deleted="o_orderstatus = 'P'")).select("secondary", F.col("primary").alias("prim"))
 
 
+def index_delete_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers lead to their last orders; open orders leave the main table, and the entries that lead to them go."""
+    orders = table(spark, sf_dir, "orders")
+    entries = index.entries(orders, "o_custkey", "o_orderkey", "o_orderkey")
+    removed = orders.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("secondary"), F.col("o_orderkey").alias("primary"), (F.col("o_orderkey") + 10**12).alias("seq"))
+    return index.lookup_primary(entries.unionByName(index.delete(entries, removed))).select("secondary", F.col("primary").alias("prim"))
+
+
 def index_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = index.multi_entries(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey", "o_orderkey")
     return resolve.live(entries).groupBy(F.col("key.secondary").alias("secondary")).agg(F.count("*").alias("entries"), F.max("seq").alias("last_seq"))
@@ -101,6 +109,20 @@ def wal_crc_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.valid_prefix(rows, recovery.is_bad()).select(F.col("key").cast("string").alias("k"), "seq", "op")
 
 
+def wal_bytes_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as the bytes of segments, one a run: the checksum of every 7777th record is wrong and the last segment is cut off."""
+    rows = log(spark, sf_dir).select("run", "seq", "op", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    record = recovery.record(F.col("op"), F.col("key"), F.col("value"))
+    broken = F.concat(codec.u32le(F.crc32(recovery.body(F.col("op"), F.col("key"), F.col("value"))).bitwiseXOR(F.lit(1))), F.substring(record, F.lit(5), F.octet_length(record)))
+    hexed = F.hex(F.when(F.col("seq") % 7777 == 0, broken).otherwise(record))
+    last = rows.agg(F.max("seq")).scalar()
+    # A run has a fixed number of events, so its array is bounded.
+    whole = rows.select("run", "seq", hexed.alias("hexed")).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("seq", "hexed"))).alias("r"), F.max("seq").alias("high"))
+    data = F.unhex(F.array_join("r.hexed", ""))
+    segments = whole.withColumn("last", last).select(F.col("run").alias("segment"), F.when(F.col("high") == F.col("last"), F.substring(data, F.lit(1), F.octet_length(data) - 3)).otherwise(data).alias("data"))
+    return recovery.recovered(segments).select(F.col("segment").alias("run"), "place", "op", F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
+
+
 def crc32_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log(spark, sf_dir).select(F.col("key").cast("binary").alias("key"), "seq", "op", F.col("value").cast("binary").alias("value"))
     return recovery.with_crc(rows).select("seq", "crc")
@@ -111,18 +133,39 @@ def run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", F.lower(F.hex(codec.run_record(F.col("op"), F.col("seq"), F.col("key").cast("binary"), F.col("value").cast("binary")))).alias("record"))
 
 
+def run_record_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record encoded and decoded again."""
+    record = codec.run_record(F.col("op"), F.col("seq"), F.col("key").cast("binary"), F.col("value").cast("binary"))
+    fields = log(spark, sf_dir).select(codec.run_record_fields(record).alias("f")).select("f.*")
+    return fields.select("seq", "op", F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
+
+
 def bloom_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(bloom.with_hashes(log(spark, sf_dir).select("key").distinct()))
 
 
 def bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.build(log(spark, sf_dir).where("seq <= 60").select("key").distinct(), BLOOM_BITS, BLOOM_HASHES)
+    """A filter for each run of the log, of the size that its keys ask for."""
+    return bloom.build_each(log(spark, sf_dir), BLOOM_FPR)
+
+
+def _bloom_of_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    keys = log(spark, sf_dir).select("key").distinct()
+    bits, count = bloom.sizing(max(1, keys.count()), BLOOM_FPR)
+    return bloom.build(keys, bits, count), bits, count
 
 
 def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = log(spark, sf_dir)
-    bits = bloom.build(every.where("seq <= 60").select("key").distinct(), BLOOM_BITS, BLOOM_HASHES)
-    return _named(bloom.probe(every.select("key").distinct(), bits, BLOOM_BITS, BLOOM_HASHES))
+    """The filter of all keys of the log, probed for every customer."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"))
+    return _named(bloom.probe(customers, *_bloom_of_all(spark, sf_dir)))
+
+
+def bloom_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same filter as it is stored: its header, then its bytes."""
+    filter_bits, bits, count = _bloom_of_all(spark, sf_dir)
+    stored = bloom.encode(bloom.as_bytes(filter_bits, bits), bits, count)
+    return spark.createDataFrame([(bits, count, stored.hex())], "bits long, hashes long, stored string")
 
 
 def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +174,8 @@ def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes = spark.createDataFrame([("1", 100), ("1", 5000), ("2", 700), ("3", 9000), ("149", 10), ("99999", 9000)], "key string, at long")
+    """For every order the latest event of its customer up to the order's number."""
+    probes = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderkey").alias("at"))
     found = resolve.as_of_join(probes, log(spark, sf_dir))
     return _named(found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("seq", "op")}))
 
@@ -144,12 +188,21 @@ def live_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(nations, "c_nationkey").select("n_name", "n", F.round("total", 2).alias("balance"))
 
 
-CSV_LINES = ("id,name,category,price", "P001,a,b,1.5", "P002,,b,2", "P003,a,,b,3,x", "", ",P004,n,c,9")
+def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product file of all parts, written and loaded: some have no type, so that a field is short, some a field too many."""
+    import uuid
 
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    price = F.concat(F.format_string("%.2f", "p_retailprice"), F.when(key % 11 == 0, ",extra").otherwise(""))
+    line = F.concat_ws(",", codec.product_id(key), "p_name", F.when(key % 7 == 0, "").otherwise(F.col("p_type")), price)
+    folder = f"{shared(spark)}/products-{uuid.uuid4().hex}"
+    # A header in each file, as a file that is loaded has one.
+    part.select(line.alias("id,name,category,price")).write.options(header=True, sep="\x01", quote="", escape="").csv(folder)
+    return codec.read_products(spark, folder).where("status = 'loaded'").drop("status")
 
-def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([(i + 1, x + "\r\n" * (i % 2)) for i, x in enumerate(CSV_LINES)], "line_no int, line string")
-    return codec.csv_rows(lines).where("status = 'loaded'").drop("status")
+
+def product_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", codec.product_id(F.col("p_partkey")).alias("id"))
 
 
 def status_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,24 +232,86 @@ def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]").select(
         F.col("user_id").cast("string").alias("key"), (F.col("event_id") + 1).alias("seq"), F.when(is_error, 0).otherwise(1).alias("op"), F.when(~is_error, F.col("props")).alias("value")
     )
-    name = f"live_{uuid.uuid4().hex}"
-    ingest.into_table(ingest.live_state(rows), name, f"{shared(spark)}/stream-{name}").awaitTermination()
-    return _named(ingest.live_rows(spark.table(name)))
+    folder, state = f"{shared(spark)}/stream-{uuid.uuid4().hex}", ingest.live_state(rows)
+    ingest.into_folder(state, f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
+    return _named(ingest.live_rows(ingest.state_of(spark, f"{folder}/state", state.schema)))
 
 
-def store_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The live view once more, through a store: three batches, a compaction, then a scan."""
+def _store(spark: SparkSession, name: str):
     import uuid
 
     from palimpsest.sources.store import Store
 
-    store = Store.open(spark, f"{shared(spark)}/store-{uuid.uuid4().hex}")
-    rows = log(spark, sf_dir)
+    return Store.open(spark, f"{shared(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def _parts(rows: DataFrame, n: int) -> list[DataFrame]:
+    """The log in n stretches of seq."""
     last = rows.agg(F.max("seq")).collect()[0][0] or 0
-    for i in range(3):
-        store.write(rows.where((F.col("seq") > last * i // 3) & (F.col("seq") <= last * (i + 1) // 3)), order="seq")
+    return [rows.where((F.col("seq") > last * i // n) & (F.col("seq") <= last * (i + 1) // n)) for i in range(n)]
+
+
+def _as_text(log: DataFrame) -> DataFrame:
+    return log.select(F.col("key").cast("string").alias("k"), "seq", F.col("value").cast("string").alias("v"))
+
+
+def store_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live view once more, through a store: three batches, a compaction, then a scan."""
+    store = _store(spark, "store")
+    for part in _parts(log(spark, sf_dir), 3):
+        store.write(part, order="seq")
     store.compact()
-    return resolve.live(store.log()).select(F.col("key").cast("string").alias("k"), "seq", F.col("value").cast("string").alias("v"))
+    return _as_text(resolve.live(store.log()))
+
+
+def store_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live view once more, of keys that two writers append at the same time, with a compaction between."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from palimpsest.schema import BusyError
+    from palimpsest.sources.store import Store
+
+    store, rows = _store(spark, "store"), log(spark, sf_dir)
+
+    def work(odd: int) -> None:
+        own = Store.open(spark, store.path)
+        for part in _parts(rows.where(F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(2)) == odd), 2):
+            own.write(part, order="seq")
+
+    def upkeep() -> None:
+        try:
+            Store.open(spark, store.path).compact()
+        except BusyError:
+            pass
+
+    with ThreadPoolExecutor(3) as pool:
+        for job in [pool.submit(work, 0), pool.submit(work, 1), pool.submit(upkeep)]:
+            job.result()
+    return _as_text(resolve.live(store.log())).drop("seq")
+
+
+def store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a snapshot sees that was opened between two batches, after the second one."""
+    store = _store(spark, "store")
+    first, second = _parts(log(spark, sf_dir), 2)
+    store.write(first, order="seq")
+    snapshot = store.snapshot()
+    store.write(second, order="seq")
+    seen = _as_text(snapshot.live())
+    snapshot.release()
+    return seen
+
+
+def store_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A secondary index in a store of its own, from names to customers, of which those in debt have left it."""
+    from palimpsest.sources.store import SecondaryIndex
+
+    customers = table(spark, sf_dir, "customer").select(F.col("c_name").alias("secondary"), F.col("c_custkey").cast("string").alias("primary"), "c_mktsegment", "c_acctbal")
+    both = SecondaryIndex(_store(spark, "index"), _store(spark, "main"))
+    both.main.put(customers.select(F.col("primary").alias("key"), F.col("c_mktsegment").alias("value")))
+    both.put(customers.select("secondary", "primary"))
+    both.delete(customers.where("c_acctbal < 0").select(F.col("secondary").alias("key")))
+    return both.join().select(*[F.col(c).cast("string").alias(n) for c, n in (("secondary", "secondary"), ("primary", "prim"), ("value", "v"))])
 
 
 def shared(spark: SparkSession) -> str:
@@ -231,19 +346,26 @@ def queries() -> dict:
         "index_semi": index_semi,
         "index_lookup_primary": index_lookup_primary,
         "index_delete": index_delete,
+        "index_delete_removed": index_delete_removed,
         "index_multi": index_multi,
         "codec_roundtrip": codec_roundtrip,
         "find_category": find_category,
         "range_scan": _over_log(lambda x: resolve.key_range(x, "10", "12")),
         "list_count": list_count,
+        "any_live": _over_log(resolve.any_live),
         "csv_load": csv_load,
+        "product_ids": product_ids,
         "wal_valid_prefix": wal_valid_prefix,
         "wal_crc_prefix": wal_crc_prefix,
+        "wal_bytes_prefix": wal_bytes_prefix,
         "crc32_record": crc32_record,
         "run_record": run_record,
+        "run_record_decode": run_record_decode,
+        "run_blocks": _over_log(resolve.run_blocks),
         "bloom_hash": bloom_hash,
         "bloom_build": bloom_build,
         "bloom_probe": bloom_probe,
+        "bloom_bytes": bloom_bytes,
         "bloom_sizing": bloom_sizing,
         "as_of_join": as_of_join,
         "live_by_nation": live_by_nation,
@@ -251,6 +373,9 @@ def queries() -> dict:
         "byte_order": byte_order,
         "stream_live": stream_live,
         "store_live": store_live,
+        "store_two_writers": store_two_writers,
+        "store_snapshot": store_snapshot,
+        "store_index": store_index,
     }
 
 

@@ -10,8 +10,8 @@ def test_query_equals_sql(parity, name):
     parity.check(catalog.queries()[name], SQL[name])
 
 
-def test_all_but_crc_have_sql():
-    assert set(catalog.queries()) - set(SQL) == {"crc32_record"}
+def test_all_queries_have_sql():
+    assert set(catalog.queries()) == set(SQL)
 
 
 def test_entry_is_live_view(spark):

@@ -96,3 +96,28 @@ def test_log_record_bytes(spark):
 
 def test_schema_of_log():
     assert [f.name for f in LOG] == ["key", "seq", "op", "value"]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(ops, st.lists(st.tuples(st.sampled_from([b"a", b"b", b"none"]), st.integers(0, 45)), max_size=12), st.integers(1, 50))
+def test_stretches_do_not_show(spark, rows, probes, stretch):
+    df = log(spark, rows)
+    got = sorted((bytes(r["key"]), r["version"], r["seq"]) for r in resolve.versions(df, stretch).collect())
+    want = []
+    for k in {r[0] for r in rows}:
+        want += [(k, n + 1, i + 1) for n, i in enumerate(i for i in reversed(range(len(rows))) if rows[i][0] == k)]
+    assert got == sorted(want)
+    asked = spark.createDataFrame(probes, "key binary, at long")
+    found = sorted((bytes(r["key"]), r["at"], r["seq"] or 0) for r in resolve.as_of_join(asked, df, stretch).collect())
+    assert found == sorted((k, at, max((i + 1 for i, r in enumerate(rows) if r[0] == k and i < at), default=0)) for k, at in probes)
+
+
+def test_blocks_are_filled_in_key_order(spark):
+    rows = [(b"%03d" % i, 1, b"v" * (i * 37 % 4000)) for i in range(60)]
+    used, blocks = 0, 1
+    for k, _, v in rows:
+        n = 17 + len(k) + len(v)
+        used, blocks = (n, blocks + 1) if used + n > 4088 else (used + n, blocks)
+    df = spark.createDataFrame([(k, i + 1, op, v, 7) for i, (k, op, v) in enumerate(rows)], SCHEMA)
+    assert [tuple(r) for r in resolve.run_blocks(df).collect()] == [(7, blocks)]
+    assert resolve.any_live(df).collect()[0][0] and not resolve.any_live(df.limit(0)).collect()[0][0]
