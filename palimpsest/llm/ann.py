@@ -1,18 +1,21 @@
 """Approximate nearest neighbours: stable low-dimensional projections in kd-trees, searched until a chi-square test holds.
 
-Vectors are dealt into blocks at random. In each, a Gaussian (2-stable) projection to `dims` dimensions goes into a kd-tree. A query takes
-projected neighbours in order of their distance, computes their true distances, and stops when the next one's projected
-distance is so large beside its k-th true distance that a closer vector is left with a probability under 1 - `sure`: the
-squared ratio of a pair's projected and true distances follows a chi-square distribution with `dims` degrees of freedom.
-Regions no further away than the projection's rounding are searched in any case, so all exact copies of a query are seen.
-Each block's k best then meet per query, with at most k rows for each block.
+Vectors are dealt into blocks at random. In each, a Gaussian (2-stable) projection to `dims` dimensions goes into a kd-tree whose
+nodes know the tight boxes of their points. A query takes projected neighbours one after the other in order of their projected
+distance: nodes and points wait by their distance, and points come out once no node could hold a nearer one. Their true
+distances are computed (they are verified) until the next one's projected distance is so large beside the query's k-th true
+distance that a closer vector is left with a probability under 1 - `sure`: the squared ratio of a pair's projected and true
+distances follows a chi-square distribution with `dims` degrees of freedom. Neighbours no further away than the projection's
+rounding are verified in any case, so all exact copies of a query are seen. Each block's k best then meet per query.
 
-Queries meet the blocks in a shuffle, so neither side is broadcast; a block holds at most about `block_rows` vectors, and
-meets the queries in batches of about `batch_queries`. The index holds every vector; nothing is fitted to a sample.
+A block is built once, by the task that holds it, and all queries stream past it; neither side is broadcast. A block holds about
+`block_rows` vectors, whatever the input. The index holds every vector; nothing is fitted to a sample.
 
 Vectors that are null, zero, of no components, or that hold null or non-finite components take no part, nor do rows with a
-null vec_id. Only vectors of a query's own length are its candidates; all rows with the query's vec_id count as its own row,
-and of several such rows with an id divisible by `every` the query is the smallest vector. Ties go to the smaller vec_id.
+null vec_id. Only vectors of a query's own length are its candidates; very long ones are as others. All rows with the query's
+vec_id count as its own row, and of several such rows with an id divisible by `every` the query is the smallest vector. Rows
+that repeat are candidates of their own. Ties go to the smaller vec_id. An empty table gives an empty result. Columns other than
+vec_id and embedding are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import stored
+from palimpsest.llm.shared import lean, stored
 
-DIMS, SURE, LEAF, BLOCK_ROWS, BATCH_QUERIES, SEED = 8, 0.99, 32, 8_192, 4_096, 20_240
+DIMS, SURE, LEAF, BLOCK_ROWS, SEED = 24, 0.95, 32, 8_192, 20_240
+#: Neighbours verified between two tests.
+STEP = 16
 
 
 def chi_square(x: float, dims: int) -> float:
@@ -52,65 +57,92 @@ def chi_square_bound(sure: float, dims: int) -> float:
 
 
 class Tree:
-    """A kd-tree over projected points; nodes are (axis, split, left, right), leaves arrays of row numbers."""
+    """A kd-tree over projected points. Inner nodes are (two children, lower and upper corners of their boxes), leaves row numbers."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points, self.nodes = points, []
         self.root = self._build(np.arange(len(points)), leaf)
 
     def _build(self, rows: np.ndarray, leaf: int) -> int:
-        if len(rows) > leaf:
-            own = self.points[rows]
+        own = self.points[rows]
+        if len(rows) > leaf and len(own):
             axis = int(np.argmax(own.max(0) - own.min(0)))
             order = np.argsort(own[:, axis], kind="stable")
-            half = len(rows) // 2
-            split = float(own[order[half], axis])
             if own[order[0], axis] < own[order[-1], axis]:
-                left, right = self._build(rows[order[:half]], leaf), self._build(rows[order[half:]], leaf)
-                self.nodes.append((axis, split, left, right))
+                halves = rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]
+                corners = [np.stack([f(self.points[h], axis=0) for h in halves]) for f in (np.min, np.max)]
+                self.nodes.append((tuple(self._build(h, leaf) for h in halves), *corners))
                 return len(self.nodes) - 1
         self.nodes.append(rows)
         return len(self.nodes) - 1
 
-    def near(self, at: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """(squared projected distance below which nothing is left, rows found up to there), nearest regions first."""
-        heap = [(0.0, self.root, (0.0,) * len(at))]
+    def near(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(squared projected distances, row numbers) of all points, nearest first, some at a time."""
+        heap = [(0.0, self.root)]
+        far, rows, waiting = [], [], 0
         while heap:
-            low, n, off = heapq.heappop(heap)
+            _, n = heapq.heappop(heap)
             node = self.nodes[n]
-            while isinstance(node, tuple):
-                axis, split, left, right = node
-                gap = at[axis] - split
-                here, there = (left, right) if gap < 0 else (right, left)
-                far = list(off)
-                far[axis] = max(off[axis], gap * gap)
-                heapq.heappush(heap, (sum(far), there, tuple(far)))
-                node = self.nodes[here]
-            yield low, node
-
-
-def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, dims: int = DIMS, sure: float = SURE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (row number, ids of its k nearest found, their distances); vectors and queries are doubles."""
-    plane = np.random.default_rng(SEED).standard_normal((vectors.shape[1], dims))
-    tree, bound = Tree(vectors @ plane), chi_square_bound(sure, dims)
+            if isinstance(node, tuple):
+                children, low, high = node
+                gap = np.maximum(np.maximum(low - at, at - high), 0)
+                for child, d in zip(children, (gap * gap).sum(1).tolist(), strict=True):
+                    heapq.heappush(heap, (d, child))
+                continue
+            gap = self.points[node] - at
+            far.append((gap * gap).sum(1))
+            rows.append(node)
+            waiting += len(node)
+            if waiting >= STEP or not heap:
+                d, r = np.concatenate(far), np.concatenate(rows)
+                # Rounding may put a box's distance a little above that of its own points, which is as good for the test.
+                out = np.flatnonzero(d <= heap[0][0]) if heap else np.arange(len(d))
+                if len(out) >= STEP or not heap:
+                    out = out[np.lexsort((r[out], d[out]))]
+                    yield d[out], r[out]
+                    left = np.ones(len(d), bool)
+                    left[out] = False
+                    far, rows = [d[left]], [r[left]]
+                    waiting = len(far[0])
+                else:
+                    far, rows = [d], [r]
+
+
+def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, dims: int = DIMS, sure: float = SURE, built: tuple | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """For each query (row number, ids of its k nearest found, their distances, vectors verified); vectors and queries are doubles."""
+    plane, tree = built or index(vectors, dims)
+    bound = chi_square_bound(sure, dims)
     # equal vectors may be projected this far apart, squared, as products of matrices round by place: copies lie in many leaves
     slack = dims * (4 * len(plane) * np.finfo(float).eps * np.linalg.norm(plane, axis=0).max() * np.linalg.norm(queries, axis=1)) ** 2
     for q, (v, at) in enumerate(zip(queries, queries @ plane, strict=True)):
-        best_d, best_i = np.empty(0), np.empty(0, np.int64)
-        for low, rows in tree.near(at):
-            # the regions come nearest first, so all vectors left are projected at least this far away
-            if len(best_d) == k and low > slack[q] and low >= bound * best_d[-1] ** 2:
+        best_d, best_i, verified = np.empty(0), np.empty(0, np.int64), 0
+        for far, rows in tree.near(at):
+            done = False
+            for i in range(0, len(far), STEP):
+                # all that are left are projected at least this far away
+                if done := len(best_d) == k and far[i] > slack[q] and far[i] >= bound * best_d[-1] ** 2:
+                    break
+                some = rows[i : i + STEP]
+                some = some[ids[some] != own[q]]
+                gap = vectors[some] - v
+                d = np.sqrt((gap * gap).sum(1))
+                verified += len(some)
+                if len(best_d) == k:
+                    closer = d <= best_d[-1]
+                    some, d = some[closer], d[closer]
+                if len(d):
+                    best_d, best_i = np.concatenate([best_d, d]), np.concatenate([best_i, ids[some]])
+                    order = np.lexsort((best_i, best_d))[:k]
+                    best_d, best_i = best_d[order], best_i[order]
+            if done:
                 break
-            rows = rows[ids[rows] != own[q]]
-            d = np.sqrt(((vectors[rows] - v) ** 2).sum(1))
-            if len(best_d) == k:
-                near = d <= best_d[-1]
-                rows, d = rows[near], d[near]
-            if len(d):
-                best_d, best_i = np.concatenate([best_d, d]), np.concatenate([best_i, ids[rows]])
-                order = np.lexsort((best_i, best_d))[:k]
-                best_d, best_i = best_d[order], best_i[order]
-        yield q, best_i, best_d
+        yield q, best_i, best_d, verified
+
+
+def index(vectors: np.ndarray, dims: int = DIMS) -> tuple[np.ndarray, Tree]:
+    """The projection, which depends on the vectors' length only, and the tree over the projected vectors."""
+    plane = np.random.default_rng(SEED).standard_normal((vectors.shape[1], dims))
+    return plane, Tree(vectors @ plane)
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -121,30 +153,39 @@ def usable(df: DataFrame) -> DataFrame:
     return out.where(fine & F.exists("v", lambda x: x != 0))
 
 
-def nearest(df: DataFrame, k: int = 10, every: int = 100, dims: int = DIMS, sure: float = SURE, block_rows: int = BLOCK_ROWS, batch_queries: int = BATCH_QUERIES) -> DataFrame:
+def nearest(df: DataFrame, k: int = 10, every: int = 100, dims: int = DIMS, sure: float = SURE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """df (vec_id, embedding) -> query_id, rank, vec_id, score for each query: each row with vec_id divisible by every."""
     rows = usable(df).select("vec_id", "v", F.size("v").alias("width"))
     queries = stored(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("width", F.size("v")), "ann-queries")
     blocks = max(1, -(-rows.count() // block_rows))
-    batches = max(1, -(-queries.count() // batch_queries))
-    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
-    batch = F.pmod(F.xxhash64("vec_id"), F.lit(batches)).cast("int")
-    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # A stated query set against all rows, in blocks: each query goes to each block once, each block to each batch of queries.
-    dealt = rows.select("width", block.alias("block"), every_one(batches).alias("batch"), F.lit(False).alias("is_query"), "vec_id", "v")
-    asked = queries.select("width", every_one(blocks).alias("block"), batch.alias("batch"), F.lit(True).alias("is_query"), "vec_id", "v")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf["is_query"].to_numpy(bool)
-        ids = pdf["vec_id"].to_numpy(np.int64)
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        out = []
-        if q.any() and not q.all():
-            asking = ids[q]
-            for n, found, d in search(v[~q], ids[~q], v[q], asking, k, dims, sure):
-                out.append(pd.DataFrame({"query_id": asking[n], "vec_id": found, "score": d}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-
-    found = dealt.unionByName(asked).groupBy("width", "block", "batch").applyInPandas(run, "query_id long, vec_id long, score double")
+    # The row's number in its file deals rows that are alike in all else.
+    block = F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    # A stated query set against all rows, in blocks: each query goes to each block once.
+    dealt = rows.select("width", block.alias("block"), F.lit(False).alias("is_query"), "vec_id", "v")
+    asked = queries.select("width", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("is_query"), "vec_id", "v")
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, built = None, [], None
+        for b in batches:
+            width, number, asks, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("width", "block", "is_query", "vec_id"))
+            cuts = np.flatnonzero(np.diff(width, prepend=-1) | np.diff(number, prepend=-1) | np.diff(asks.astype(int), prepend=-1)).tolist()
+            for i, j in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+                if at != (width[i], number[i]):
+                    at, held, built = (width[i], number[i]), [], None
+                own = b.column("v").slice(i, j - i).flatten().to_numpy().reshape(j - i, -1)
+                if not asks[i]:
+                    held.append((own, ids[i:j]))
+                    continue
+                if not held:
+                    continue
+                if built is None:
+                    vectors, names = (np.concatenate(x) for x in zip(*held, strict=True))
+                    built = index(vectors, dims)
+                for q, found, d, _ in search(vectors, names, own, ids[i:j], k, dims, sure, built):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[i + q])), pa.array(found), pa.array(d)], schema=schema)
+
+    both = dealt.unionByName(asked).repartition("width", "block").sortWithinPartitions("width", "block", "is_query")
+    found = both.mapInArrow(lean(run), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
