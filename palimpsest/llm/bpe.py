@@ -1,16 +1,22 @@
 """Byte-level BPE: encoding by recursive DuckDB queries in each partition, decoding by ordered aggregation.
 
-A text is cut by the tokenizer's pattern. A piece that is a token is that token; of the others each distinct one becomes rows
-(piece, position, token), one a byte at first. A recursive query joins adjacent rows with the table of merges and contracts
-each piece's leftmost pair of lowest rank, until no pair of the piece is in the table. Decoding joins ids with the table of
-tokens and aggregates their bytes in order.
-
-A query's rows are bounded: pieces come in batches by their squared length, and a piece too long for one query goes through
-several, each of so many steps as fit. Pieces of over LONG bytes contract all occurrences of the lowest rank in one step,
-left to right and without overlap, where that is the same: where no merge with the new token has a lower rank than it.
-
-Null texts count as empty: no tokens, empty bytes. Special tokens are ordinary text. Null ids decode to empty bytes; an
-unknown id raises an error. Repeated rows are encoded alike, and columns other than those read pass through unchanged.
+A text is cut by the tokenizer's pattern. A piece that is a token is that token; the others go through words of at most `WORD`
+bytes. Each distinct word becomes rows (word, position, token), one a byte at first. A recursive query joins adjacent rows with
+the table of merges and contracts each word's leftmost pair of lowest rank, until no pair of the word is in the table.
+
+A piece of several words needs one thing more, which is the same for all lengths. Let a be the last token of a word and b the
+first of the next. The contraction of both words together never crosses their border if, and only if, that of the bytes of a and b
+alone does not: what happens within a, within b and at their border depends on nothing else, and the order of the rest does not
+change the order of these. So each border is checked by contracting a and b. Where it does not hold, the two tokens before it
+and a word's bytes after it are contracted as one word, whose two borders are then checked in turn, until all hold. A piece's
+cost is in proportion to its length; if its borders move on for very many rounds, its words are made longer.
+
+A query's rows are bounded: words come in batches by their squared length, and a batch too long for one query goes through
+several, each of so many steps as fit. Decoding joins ids with the table of tokens and aggregates their bytes in order.
+
+Null texts count as empty: no tokens, empty bytes. Special tokens are ordinary text. Very long texts go through in parts, and
+very long pieces in words. Null ids decode to empty bytes; an unknown id raises an error. Repeated rows are encoded alike, an
+empty table gives an empty one, and columns other than those read pass through, but for those of a result's name.
 """
 
 from __future__ import annotations
@@ -18,8 +24,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-import os
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,40 +36,25 @@ from palimpsest.llm.shared import held, lean, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Rows that one recursive query may make; characters of text held as pieces at once; pieces whose ids are kept.
-STEP_ROWS, BLOCK_CHARS, KEPT_PIECES = 1_000_000, 2_000_000, 350_000
-LONG = 96
+STEP_ROWS, BLOCK_CHARS, KEPT_PIECES = 1_000_000, 1_000_000, 350_000
+#: Bytes of a word at first; words of a piece that may move its borders, for each word it has, before its words are made longer.
+WORD, ROUNDS = 32, 4
 DUCKDB_MEMORY = "150MB"
 
-_STEPS = """WITH RECURSIVE state AS (
-  SELECT 0 AS step, piece, pos, token, false AS done FROM start
-  UNION ALL SELECT * FROM ({step})
-) SELECT piece, pos, token, done FROM state WHERE done OR step = $most ORDER BY piece, pos"""
-
-#: One contraction a piece: its lowest rank, of these the leftmost position, and the position that goes, in one number. Piece
-#: and position, which is below 128 here, are one number too, so that neighbours come from a sort by one key.
-_LEFTMOST = """WITH RECURSIVE state AS (
-  SELECT 0 AS step, piece * 128 + pos AS spot, token, false AS done FROM start
+#: One contraction a word: its lowest rank, of these the leftmost position, and the position that goes, in one number. Word and
+#: position, which has 20 bits, are one number too, so that neighbours come from a sort by one key.
+BITS = 20
+_MASK = (1 << BITS) - 1
+_CONTRACT = f"""WITH RECURSIVE state AS (
+  SELECT 0 AS step, (CAST(word AS BIGINT) << {BITS}) + pos AS spot, token, false AS done FROM start
   UNION ALL SELECT * FROM (
-    WITH pairs AS (SELECT step, spot, spot >> 7 AS piece, token, lead(token) OVER w AS right_token, lead(spot) OVER w AS right_spot
+    WITH pairs AS (SELECT step, spot, spot >> {BITS} AS word, token, lead(token) OVER w AS right_token, lead(spot) OVER w AS right_spot
       FROM state WHERE NOT done AND step < $most WINDOW w AS (ORDER BY spot)),
-    best AS (SELECT piece, min((CAST(merged AS BIGINT) << 14) + ((spot & 127) << 7) + (right_spot & 127)) AS k
-      FROM pairs JOIN merges ON pair = (CAST(token AS BIGINT) << 32) + right_token WHERE right_spot >> 7 = piece GROUP BY piece)
-    SELECT step + 1, spot, CASE WHEN (spot & 127) = (k >> 7) & 127 THEN CAST(k >> 14 AS INTEGER) ELSE token END, k IS NULL
-    FROM pairs p LEFT JOIN best ON best.piece = p.piece WHERE k IS NULL OR (spot & 127) <> (k & 127))
-) SELECT spot >> 7 AS piece, (spot & 127) AS pos, token, done FROM state WHERE done OR step = $most ORDER BY spot"""
-
-#: All occurrences of a piece's lowest rank: every other one in a run of adjacent ones, or the leftmost if its token is in `alone`.
-_EVERY = _STEPS.format(step="""
-  WITH pairs AS (SELECT step, piece, pos, token, lead(token) OVER (PARTITION BY piece ORDER BY pos) AS right_token FROM state WHERE NOT done AND step < $most),
-  ranked AS (SELECT p.*, m.merged FROM pairs p LEFT JOIN merges m ON m.pair = (CAST(p.token AS BIGINT) << 32) + p.right_token),
-  lowest AS (SELECT *, min(merged) OVER (PARTITION BY piece) AS low FROM ranked),
-  runs AS (SELECT *, sum(CASE WHEN merged = low THEN 0 ELSE 1 END) OVER (PARTITION BY piece ORDER BY pos) AS run FROM lowest),
-  placed AS (SELECT *, row_number() OVER (PARTITION BY piece, run, merged IS NOT DISTINCT FROM low ORDER BY pos) AS place,
-    min(CASE WHEN merged = low THEN pos END) OVER (PARTITION BY piece) AS leftmost FROM runs),
-  chosen AS (SELECT placed.*, merged = low AND (pos = leftmost OR (alone.token IS NULL AND place % 2 = 1)) AS hit
-    FROM placed LEFT JOIN alone ON alone.token = placed.low),
-  after AS (SELECT *, lag(hit) OVER (PARTITION BY piece ORDER BY pos) AS gone FROM chosen)
-  SELECT step + 1, piece, pos, CASE WHEN hit THEN merged ELSE token END, low IS NULL FROM after WHERE low IS NULL OR gone IS DISTINCT FROM true""")
+    best AS (SELECT word, min((CAST(merged AS BIGINT) << {2 * BITS}) + ((spot & {_MASK}) << {BITS}) + (right_spot & {_MASK})) AS k
+      FROM pairs JOIN merges ON pair = (CAST(token AS BIGINT) << 32) + right_token WHERE right_spot >> {BITS} = word GROUP BY word)
+    SELECT step + 1, spot, CASE WHEN (spot & {_MASK}) = (k >> {BITS}) & {_MASK} THEN CAST(k >> {2 * BITS} AS INTEGER) ELSE token END, k IS NULL
+    FROM pairs p LEFT JOIN best ON best.word = p.word WHERE k IS NULL OR (spot & {_MASK}) <> (k & {_MASK}))
+) SELECT spot >> {BITS} AS word, (spot & {_MASK}) AS pos, token, done FROM state WHERE done OR step = $most ORDER BY spot"""
 
 
 def vocabulary(path: str | None = None) -> bytes:
@@ -97,15 +86,14 @@ class Codec:
 
         self.find = regex.compile(pat)
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks.splitlines()) if t}
+        self.bytes = {r: t for t, r in self.ranks.items()}
         self.bytes_of = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.kept: dict[str, bytes] = {}
         merges = [(left, right, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (left := self.ranks.get(t[:i])) is not None and (right := self.ranks.get(t[i:])) is not None]
         a = np.array(merges, np.int64).reshape(-1, 3)
-        #: Tokens that a merge of lower rank than their own can take in: their occurrences must be contracted one at a time.
-        alone = np.unique(np.concatenate([a[a[:, 2] < a[:, 0], 0], a[a[:, 2] < a[:, 1], 1]]))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")})
+        #: Nothing is spilled: what a query holds is bounded by STEP_ROWS.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         self._table("merges", {"pair": (a[:, 0] << 32) + a[:, 1], "merged": a[:, 2].astype(np.int32)})
-        self._table("alone", {"token": alone.astype(np.int32)})
         self._table("tokens", {"id": np.fromiter(self.ranks.values(), np.int64, len(self.ranks)), "hex": [t.hex() for t in self.ranks]})
 
     def _table(self, name: str, columns: dict) -> None:
@@ -113,44 +101,120 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contracted(self, pieces: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        """(index of the piece, its ids) of each of a batch, in several queries if one would make too many rows."""
-        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    def _contracted(self, words: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """(index of the word, its ids) of each of a batch, in several queries if one would make too many rows."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lens)
-        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lens)
-        pos = (np.arange(len(piece)) - np.repeat(ends - lens, lens)).astype(np.int32)
-        token = self.bytes_of[np.frombuffer(b"".join(pieces), np.uint8)]
-        sql = _EVERY if lens.max() > LONG else _LEFTMOST
-        while len(piece):
-            self._table("start", {"piece": piece, "pos": pos, "token": token})
-            most = max(1, STEP_ROWS // len(piece))
-            got = self.db.execute(sql, {"most": most}).fetchnumpy()
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lens)
+        pos = (np.arange(len(word)) - np.repeat(ends - lens, lens)).astype(np.int32)
+        token = self.bytes_of[np.frombuffer(b"".join(words), np.uint8)]
+        while len(word):
+            self._table("start", {"word": word, "pos": pos, "token": token})
+            most = max(1, STEP_ROWS // len(word))
+            got = self.db.execute(_CONTRACT, {"most": most}).fetchnumpy()
             done = np.asarray(got["done"])
-            ready, ids = np.asarray(got["piece"])[done], np.asarray(got["token"])[done].astype("<u4")
+            ready, ids = np.asarray(got["word"])[done], np.asarray(got["token"])[done].astype("<u4")
             cuts = np.flatnonzero(np.diff(ready, prepend=-1, append=-1))
             flat = ids.tobytes()
             for at, i, j in zip(ready[cuts[:-1]].tolist(), (cuts[:-1] * 4).tolist(), (cuts[1:] * 4).tolist(), strict=True):
                 yield at, flat[i:j]
-            piece, pos, token = (np.asarray(got[k])[~done].astype(np.int32) for k in ("piece", "pos", "token"))
+            word, pos, token = (np.asarray(got[k])[~done].astype(np.int32) for k in ("word", "pos", "token"))
+
+    def contracted(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """The ids of each of the words."""
+        found, words = {}, sorted(words, key=len)  # words of a length need about as many steps
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        batch = np.cumsum(lens**2 // 2) // STEP_ROWS
+        for own in np.split(np.arange(len(words)), np.flatnonzero(np.diff(batch)) + 1):
+            if len(own):
+                some = words[own[0] : own[-1] + 1]
+                for at, ids in self._contracted(some):
+                    found[some[at]] = ids
+        return found
+
+    def _joined(self, pieces: list[list[list[int]]]) -> None:
+        """Changes pieces (the tokens of each word of each piece) until all borders between words hold."""
+        known: dict[tuple[int, int], bool] = {}
+        seen: dict[bytes, list[int]] = {}
+        holds = [[False] * (len(p) - 1) for p in pieces]  # border i, between word i and i + 1, is known to hold
+        size, rounds, todo = [WORD] * len(pieces), [0] * len(pieces), list(range(len(pieces)))
+        while todo:
+            asked = {(p[i][-1], p[i + 1][0]) for n in todo for p in (pieces[n],) for i, h in enumerate(holds[n]) if not h}
+            both = {x: self.bytes[x[0]] + self.bytes[x[1]] for x in asked if x not in known}
+            alone = self.contracted(set(both.values()))
+            for x, raw in both.items():
+                known[x] = alone[raw] == np.array(x, "<u4").tobytes()
+            for n in todo:
+                pieces[n], holds[n] = self._moved(pieces[n], holds[n], size[n], known, seen)
+                rounds[n] += 1
+                if rounds[n] > 20 + ROUNDS * len(pieces[n]):
+                    size[n], rounds[n] = min(2 * size[n], _MASK // 4), 0
+            for w, ids in self.contracted({w for n in todo for w in pieces[n] if isinstance(w, bytes)}).items():
+                seen[w] = np.frombuffer(ids, "<u4").tolist()
+            for n in todo:
+                pieces[n] = [seen[w] if isinstance(w, bytes) else w for w in pieces[n]]
+            todo = [n for n in todo if not all(holds[n])]
+
+    def _moved(self, words: list[list[int]], holds: list[bool], size: int, known: dict, seen: dict) -> tuple[list, list[bool]]:
+        """The words with the tokens around each border that doesn't hold as one word, and which borders are known to hold.
+
+        A word that has been contracted before has its tokens at once, so that what repeats moves on within one round; others are
+        bytes yet.
+        """
+        out, borders, moves = [], [], 4 * len(words) + 100
+        rest = [*zip(reversed(words), [*reversed(holds), True], strict=True)]  # each with whether the border before it holds
+        while rest:
+            word, border = rest.pop()
+            if out and not border and not isinstance(out[-1], bytes):
+                border = known.get((out[-1][-1], word[0]))
+                if border is False and moves:
+                    left, k, held = out[-1], 0, 0
+                    while k < len(word) and held < size:
+                        held, k = held + len(self.bytes[word[k]]), k + 1
+                    both = b"".join(self.bytes[t] for t in left[-2:] + word[:k])
+                    if rest:
+                        rest[-1] = (rest[-1][0], rest[-1][1] and k < len(word))
+                    if word[k:]:
+                        rest.append((word[k:], False))
+                    if left[:-2]:
+                        out[-1] = left[:-2]
+                    else:
+                        out.pop()
+                        if borders:
+                            borders.pop()
+                    moves -= 1
+                    if both in seen:
+                        rest.append((seen[both], False))
+                        continue
+                    word = both
+            if out:
+                borders.append(bool(border))
+            out.append(word)
+        return out, borders
 
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of pieces into kept."""
         if len(self.kept) + len(pieces) > KEPT_PIECES:
             self.kept.clear()
-        new = [p for p in pieces if p not in self.kept]
-        raw = [p.encode("utf-8", "surrogatepass") for p in new]
-        lens = np.fromiter(map(len, raw), np.int64, len(raw))
-        whole = np.fromiter((self.ranks.get(b, -1) for b in raw), np.int64, len(raw))
-        for i in np.flatnonzero(whole >= 0).tolist():
-            self.kept[new[i]] = int(whole[i]).to_bytes(4, "little")
-        for own in (np.flatnonzero((whole < 0) & (lens <= LONG)), np.flatnonzero((whole < 0) & (lens > LONG))):
-            own = own[np.argsort(lens[own], kind="stable")]  # pieces of a length need about as many steps
-            rows = np.cumsum(lens[own] ** 2 // 2) // STEP_ROWS
-            for batch in np.split(own, np.flatnonzero(np.diff(rows)) + 1):
-                if len(batch):
-                    order = batch.tolist()
-                    for at, ids in self._contracted([raw[i] for i in order]):
-                        self.kept[new[order[at]]] = ids
+        new, cut, words = [], [], set()
+        for p in pieces:
+            if p in self.kept:
+                continue
+            raw = p.encode("utf-8", "surrogatepass")
+            if (whole := self.ranks.get(raw)) is not None:
+                self.kept[p] = whole.to_bytes(4, "little")
+                continue
+            new.append(p)
+            cut.append([raw[i : i + WORD] for i in range(0, len(raw), WORD)])
+            words.update(cut[-1])
+        ids = self.contracted(words)
+        long = [n for n, c in enumerate(cut) if len(c) > 1]
+        joined = [[np.frombuffer(ids[w], "<u4").tolist() for w in cut[n]] for n in long]
+        self._joined(joined)
+        for n, p in enumerate(new):
+            self.kept[p] = ids[cut[n][0]]
+        for n, tokens in zip(long, joined, strict=True):
+            self.kept[new[n]] = np.array(list(itertools.chain.from_iterable(tokens)), "<u4").tobytes()
 
     def blocks(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, bytes]]]:
         """Lists of (index of the text, ids of the next part of it), in order; each text has at least one part."""
