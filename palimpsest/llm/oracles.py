@@ -73,15 +73,42 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN score >= (SEL
 FROM c LEFT JOIN scores USING (r)
 """
 
+_ENDS = r"""[.!?…:;,。！？；：、؟۔।॥][)\]"''»”’」』 \x{00A0}\t\r\x0b\x0c]*$"""
+_SAYS = (
+    r"(?i)licensed under|released under|under the .{1,40} licen[cs]e|all rights reserved|copyright \(c\)|©|cookie policy|privacy policy|privacy notice|terms of (use|service)|subscribe to|sign up for|click here"
+    "|use cookies|accept (all )?cookies|tous droits réservés|alle rechte vorbehalten|todos los derechos reservados|utilise des cookies|verwendet cookies|utiliza cookies"
+    "|mentions légales|politique de confidentialité|datenschutzerklärung|nutzungsbedingungen|política de privacidad|términos y condiciones"
+)
+_ASKS = (
+    "(?i)^ *((read|learn|show|see|load|view) (more|all)|(next|previous|prev)( page)?|back to top|skip to (main )?content|(log|sign) ?(in|up|out)|share( this| on .*)?|(accept|reject) all.*"
+    "|add to cart|leave a (comment|reply)|(print|email) this.*|weiterlesen|mehr erfahren|lire la suite|en savoir plus|leer más|más información)[ .…»>]*$"
+)
+
+
+def _chars(of: str) -> str:
+    """How many characters of a class a line has."""
+    return f"length(regexp_replace(line, '[^{of}]', '', 'g'))"
+
+
 OP7 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents),
-l AS (SELECT r, i, line, regexp_extract_all(line, '{_WORD}') AS lw FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
-o AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY i) AS seen FROM l WHERE len(lw) > 0),
-j AS (SELECT r, count(*) FILTER (WHERE seen > 1) AS n_dup_lines, sum(len(lw)) FILTER (WHERE seen = 1
-    AND 5 * len(list_filter(lw, lambda x: x = '|')) < len(lw)
-    AND 2 * (len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&<>]{{3}}'))) + len(list_filter(lw, lambda x: contains(x, '!!')))) <= len(lw)
-    AND NOT regexp_matches(line, '(?i)licensed under|all rights reserved|copyright \(c\)|cookie policy|privacy policy|terms of (use|service)|subscribe to|sign up for|click here')) AS kept_words
-  FROM o GROUP BY r),
+l AS (SELECT r, i, line, regexp_extract_all(line, '{_WORD}') AS lw, len(regexp_extract_all(line, '{_WORD}')) AS n, regexp_matches(line, '{_ENDS}') AS ends
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+o AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY i) AS seen, n <= 4 AND NOT ends AS short,
+    {_chars("|›‹•·→←")} + CASE WHEN contains(line, '«') THEN 0 ELSE {_chars("»")} END + len(list_filter(lw, lambda x: x IN ('>', '>>', '<', '<<', '/', '::'))) AS seps FROM l WHERE n > 0),
+q AS (SELECT *, short AND ((lag(short, 1, false) OVER t AND lag(short, 2, false) OVER t) OR (lag(short, 1, false) OVER t AND lead(short, 1, false) OVER t) OR (lead(short, 1, false) OVER t AND lead(short, 2, false) OVER t)) AS item
+  FROM o WINDOW t AS (PARTITION BY r ORDER BY i)),
+j AS (SELECT r, count(*) FILTER (WHERE seen > 1) AS n_dup_lines, sum(n) FILTER (WHERE seen = 1 AND NOT item
+    AND NOT (seps > 1 AND 5 * seps >= n) AND NOT (seps = 1 AND n <= 5 AND NOT ends)
+    AND NOT (NOT ends AND n >= 4 AND 5 * len(list_filter(lw, lambda x: regexp_matches(x, '^\p{{Lu}}'))) >= 4 * n)
+    AND 2 * len(list_filter(lw, lambda x: contains(x, '://') OR starts_with(x, 'www.'))) < n
+    AND NOT (n <= 6 AND regexp_matches(line, '{_ASKS}'))
+    AND 2 * (len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&<>]{{3}}'))) + len(list_filter(lw, lambda x: contains(x, '!!')))) <= n
+    AND 2 * {_chars(r"\p{L}\p{M}\p{N}")} >= {_chars(r"\x00-\x08\x0E-\x1F\x21-\x{10FFFF}")}
+    AND NOT (n >= 5 AND {_chars(r"\p{Lu}")} >= 14 AND 10 * {_chars(r"\p{Lu}")} >= 7 * {_chars(r"\p{L}")})
+    AND NOT regexp_matches(line, '[{{}}]|=.*;[ \t\r]*$')
+    AND NOT (n <= 40 AND regexp_matches(line, '{_SAYS}'))) AS kept_words
+  FROM q GROUP BY r),
 win AS (SELECT r, i, list_slice(w, i, i + 4) AS win FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM win) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(generate_series(i, i + 4)) AS place FROM again) GROUP BY r),
