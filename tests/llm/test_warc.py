@@ -1,7 +1,11 @@
 import base64
+import gzip
 import hashlib
+import time
 from html.parser import HTMLParser
 
+import pytest
+
 from palimpsest.llm import warc
 
 
@@ -63,6 +67,64 @@ def test_edge_rows(spark, clashing):
 
 def test_files_come_back(spark, sf_dir, tmp_path):
     records = warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet").limit(40))).repartition(3)
-    assert sum(r["records"] for r in warc.write_warc(records, str(tmp_path / "w")).collect()) == 80
-    back = {r["record_id"]: (r["warc_type"], r["refers_to"], r["target_uri"], bytes(r["block"])) for r in warc.read_warc(spark, str(tmp_path / "w/*.warc.gz")).collect()}
-    assert back == {r["record_id"]: (r["warc_type"], r["refers_to"], r["target_uri"], bytes(r["block"])) for r in records.collect()}
+    folder = f"file://{tmp_path}/some/w"
+    assert sum(r["records"] for r in warc.write_warc(records, folder).collect()) == 80
+    files = warc.write_warc(records.coalesce(1), folder, per_file=30).collect()  # fewer partitions than before
+    assert sorted(r["records"] for r in files) == [20, 30, 30] and all(r["bytes"] > 100 for r in files)
+    names = ("warc_type", "refers_to", "target_uri", "warc_date", "content_type", "block_digest")
+    want = {r["record_id"]: (*(r[c] for c in names), bytes(r["block"])) for r in records.collect()}
+    assert {r["record_id"]: (*(r[c] for c in names), bytes(r["block"])) for r in warc.read_warc(spark, folder).collect()} == want
+    for f in (tmp_path / "some/w").glob("part-*.gz"):
+        data = gzip.decompress(f.read_bytes())
+        assert [h["WARC-Record-ID"] for h, _ in warc.parsed(f.read_bytes())] == [h["WARC-Record-ID"] for h, _ in warc.parsed(data)]
+    assert warc.write_warc(records.limit(0), folder).agg({"records": "sum"}).collect()[0][0] in (0, None) and warc.read_warc(spark, folder).count() == 0
+
+
+def test_hostile_targets_and_blocks_come_back(spark, tmp_path):
+    rows = [
+        (1, "http://x/\r\n\r\nevil", "<p>a"), (2, "http://x/\r\nContent-Length: 1\r\n", "<p>b"), (3, " \x00\x7f%0D ", "<title>t\x01\r\nContent-Length: 3</title>"), (4, "u", "<p>WARC/1.1\r\nWARC/1.1\r\n\r\nContent-Length: 2\r\n\r\nWARC/1.1"),
+        (5, None, None), (6, "é", "<p>" + "\r\n\r\nWARC/1.1\r\n" * 50), (7, "v", "<a href='\r\nx: y'>l</a>"),
+    ]
+    records = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    # blocks that hold the very line at which files are cut
+    records = [r.asDict() | {"block": b"WARC/1.1\r\n" * k + bytes(r["block"]) + b"\r\nWARC/1.1\r\n" * k} for k, r in enumerate(records)]
+    warc.write_warc(spark.createDataFrame(records, warc.SCHEMA).coalesce(2), str(tmp_path / "w")).collect()
+    back = {r["record_id"]: (r["target_uri"], bytes(r["block"])) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert back == {r["record_id"]: (r["target_uri"], r["block"]) for r in records}
+    for r in records:
+        (head, block), = warc.parsed(warc.serialized(r) + warc.END)
+        assert (head["WARC-Target-URI"], block) == (r["target_uri"], r["block"])
+        assert all(b"\r" not in x and b"\n" not in x for x in warc.serialized(r)[: -len(r["block"]) or None].split(b"\r\n"))
+    assert not any(line.startswith("Content-Length") for r in records if r["warc_type"] == "metadata" for line in r["block"].decode().split("\r\n"))
+
+
+def test_files_of_others_are_read(spark, tmp_path):
+    record = lambda i: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {i}\r\n\r\n{'x' * i}\r\n\r\n".encode()
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(5)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(record(i) for i in range(5, 9)))
+    got = sorted((r["record_id"], len(r["block"])) for r in warc.read_warc(spark, tmp_path.as_uri(), "WARC/1.0").collect())
+    assert got == [(f"<{i}>", i) for i in range(9)]
+    (tmp_path / "torn.warc.gz").write_bytes(gzip.compress(record(50)[:-30]))
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read_warc(spark, tmp_path.as_uri(), "WARC/1.0").collect()
+
+
+N = 2_000_000
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<script ", "<script>", "<title>", "<a href='", '<a href="', "<a ", "<", "<a<", "</p ", "<html lang=", "<a x='\">", '<a "', "<a \"'", "<p><b ", "&", "<style></style", "\n <br", "<!", "<a href=x "])
+def test_hostile_pages_take_a_second_or_two(unit):
+    for page in (unit * (N // len(unit)), unit * (N // len(unit)) + ">", unit * (N // len(unit)) + "\" >"):
+        began = time.process_time()
+        warc.scanned(page)
+        assert time.process_time() - began < 2
+    warc.visible(unit * 100_000)
+
+
+def test_tags_with_quotes_and_without_ends():
+    for page, want in {
+        '<p title="a>b">x': "x", "<p title='a\">b'>x": "x", "a < b > c": "a < b > c", "<a \"x>y": "y", "1<2 <b>z</b>": "1<2 z", "<p x='>y": "y", "x<!-- never closed <p>y": "x", "x<script>never closed": "xnever closed", "<SCRIPT>a</Script >b": "b",
+        "<title>t</title><title>u</title>": "t\nu", "a<br/>b<hr>c": "a\nb\nc", "<?php x ?>a<!DOCTYPE html>b": "ab", "a</ >b": "ab", "&lt;p&gt;": "<p>", "<a<b>x": "x",
+    }.items():
+        assert warc.visible(page) == want, page
+    assert warc.scanned('<HTML class=x LANG="de-AT"><html lang=fr><a data-href="no" href=yes><A HREF=\'q r\'>')[2:] == ("de-AT", ["yes", "q r"])
