@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import small_side, stored
+from palimpsest.llm.shared import rows_of, scratch, small_side, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours (the larger, or else the smaller ones and the node) to the smallest of them all."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     lowest = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("at"), F.least("a", "low").alias("low")), "star")
-    out = both.join(small_side(lowest, 200_000), F.col("a") == F.col("at"))
+    out = both.join(small_side(lowest), F.col("a") == F.col("at"))
     if large:
         out = out.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
@@ -27,8 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     while True:
-        now = stored(_star(stored(_star(now, True), "edges"), False), "edges")
+        with scratch() as keep:
+            now = keep(stored(_star(stored(_star(now, True), "edges"), False), "edges"))
         # Stars only: no node is below two others, and none below one is above another.
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
-        if ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").isEmpty():
+        if not rows_of(now) or ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

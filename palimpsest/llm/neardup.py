@@ -14,8 +14,10 @@ is capped, and what is lost is what banding loses: at a similarity of exactly 0.
 
 Lower case is of A-Z only. A text with fewer words than a shingle has the sequence of them all as its one shingle; without words,
 or null, its set is empty, it links with nothing and is its own component. The component's id is the smallest id in it, nulls
-aside; a document is kept if its own id is that. Texts that only rows with a null id have link with nothing, and those rows are
-kept. Rows that repeat an id with the same text are alike, kept or not; with another text they are two documents.
+aside; a document is kept if its own id is that, or if its component has none. Rows with a null id link as others do. Rows that
+repeat an id with the same text are alike, kept or not; with another text they are two documents. A very long text is one row as
+others are; its set is held by one task. An empty table gives an empty one. Of other columns than doc_id and text none is read by
+near_duplicates(), and deduplicated() passes all on, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from palimpsest.llm.components import components
-from palimpsest.llm.shared import lean, small_side, stored
+from palimpsest.llm.shared import lean, rows_of, scratch, small_side, stored
 from palimpsest.llm.substr import _ODD, mixed, word_hashes
 
 SHINGLE, PERCENT = 5, 80
@@ -40,7 +42,6 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Members of a bucket whose pairs across components are looked at directly; nodes in a block of a cluster.
 SMALL_BUCKET, BLOCK = 8, 256
-IDS_BROADCAST = 500_000
 
 _rng = np.random.default_rng(7)
 _TIMES = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,8 +83,8 @@ def furthest(percent: int = PERCENT, deviations: float = 5.0) -> int:
     return math.ceil(mean + deviations * math.hypot(spread, math.sqrt(mean) / 2))
 
 
-def _key(s: np.ndarray) -> str | None:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None
+def _key(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
 def sketches(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -107,25 +108,31 @@ def sketches(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 else:
                     bands.append(None)
                     marks.append(None)
-            kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             cols = [pa.array(c, k) for c, k in zip((sizes, keys, bands, marks), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, set_key string, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node, set (ascending hashes) of nodes (node, set_key, first): worked out once more from the texts of those documents."""
-    ids = small_side(nodes.select("first").distinct(), IDS_BROADCAST)
-    own = docs.select(F.col("doc_id").cast("long").alias("first"), "text").join(ids, "first", "left_semi")
+def full_sets(docs: DataFrame, nodes: DataFrame, n: int, nulls: bool = True) -> DataFrame:
+    """node, set (ascending hashes) of nodes (node, set_key, first): worked out once more from the texts of those documents.
+
+    nulls: some nodes may have no id (first), so that the texts without one are looked at as well.
+    """
+    ids = small_side(nodes.where("first IS NOT NULL").select("first").distinct(), rows=rows_of(nodes))
+    every = docs.select(F.col("doc_id").cast("long").alias("first"), "text")
+    own = every.join(ids, "first", "left_semi").select("text")
+    if nulls:
+        own = own.unionByName(every.where("first IS NULL").select("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t.as_py(), n) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.string()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["set_key", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["set_key", "set"])
 
-    sets = own.select("text").mapInArrow(lean(run), "set_key string, set array<long>").where("set_key IS NOT NULL")
-    return sets.join(small_side(nodes.select("node", "set_key"), IDS_BROADCAST), "set_key").select("node", "set").dropDuplicates(["node"])
+    sets = own.select("text").mapInArrow(lean(run), "set_key binary, set array<long>").where("set_key IS NOT NULL")
+    return sets.join(small_side(nodes.select("node", "set_key"), rows=rows_of(nodes)), "set_key").select("node", "set").dropDuplicates(["node"])
 
 
 def _apart(x: str, y: str) -> Column:
@@ -138,6 +145,7 @@ class _Linker:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, percent: int):
         self.docs, self.nodes, self.n, self.percent = docs, nodes, n, percent
+        self.nulls = not nodes.where("first IS NULL").isEmpty()
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -157,21 +165,21 @@ class _Linker:
         """The pairs whose nodes aren't in one component yet."""
         if self.labels is None:
             return pairs
-        root = lambda x: small_side(self.labels, IDS_BROADCAST).select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+        root = lambda x: small_side(self.labels).select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
         out = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
         return out.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).drop("a_root", "b_root")
 
-    def sets(self, named: DataFrame) -> DataFrame:
-        """node, set of the nodes in named (node), stored."""
-        named = stored(named.distinct(), "named")
-        return stored(full_sets(self.docs, stored(self.nodes.select("node", "set_key", "first").join(small_side(named, IDS_BROADCAST), "node", "left_semi"), "named-nodes"), self.n), "sets")
+    def sets(self, named: DataFrame, rows: int) -> DataFrame:
+        """node, set of the nodes in named (node; at most so many), stored."""
+        named = small_side(named.distinct(), rows=rows)
+        return stored(full_sets(self.docs, stored(self.nodes.select("node", "set_key", "first").join(named, "node", "left_semi"), "named-nodes"), self.n, self.nulls), "sets")
 
     def confirm(self, pairs: DataFrame) -> None:
         """Adds those of pairs (a, b) to the links that are similar on the full sets."""
         pairs = stored(pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
+        if not rows_of(pairs):
             return
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), 2 * rows_of(pairs))
         side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
         both = F.size(F.array_intersect("a_set", "b_set"))
         similar = both * 100 >= (F.size("a_set") + F.size("b_set") - both) * self.percent
@@ -185,7 +193,7 @@ class _Linker:
         """rows (node, ...) with the root of node's component."""
         if self.labels is None:
             return rows.withColumn("root", F.col("node"))
-        return rows.join(small_side(self.labels, IDS_BROADCAST), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return rows.join(small_side(self.labels), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def mixed(self, rows: DataFrame) -> DataFrame:
         """rows (key, node) -> key, members: the keys whose members are of several components."""
@@ -196,7 +204,7 @@ class _Linker:
 def _with_smallest(rows: DataFrame) -> DataFrame:
     """rows (key, node) -> pairs (a, b) of each bucket's smallest node and each other member."""
     smallest = stored(rows.groupBy("key").agg(F.min("node").alias("a")), "smallest")
-    return rows.join(small_side(smallest, IDS_BROADCAST), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    return rows.join(small_side(smallest), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def _few(linker: _Linker, rows: DataFrame) -> DataFrame:
@@ -217,7 +225,7 @@ def _clusters(linker: _Linker, rows: DataFrame) -> DataFrame:
     sizes = nodes.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most"))
     sizes = stored(sizes.where("members > most"), "cluster-sizes")
-    nodes = nodes.join(small_side(sizes, IDS_BROADCAST), "cluster").join(linker.sets(nodes.select("node")), "node").join(linker.nodes.select("node", "sketch"), "node")
+    nodes = nodes.join(small_side(sizes), "cluster").join(linker.sets(nodes.select("node"), rows_of(nodes)), "node").join(linker.nodes.select("node", "sketch"), "node")
     blocks, queries = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -255,31 +263,33 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, s
 
 def _judged(docs: DataFrame, n: int, percent: int, small: int = SMALL_BUCKET) -> DataFrame:
     """What near_duplicates returns, with set_key and root: which tell documents and components of one id apart."""
-    own = docs.select("doc_id", "text")
-    marks = stored(sketches(own, n), "sketches")
-    first = F.min_by(F.struct("doc_id", "n_shingles", "bands", "sketch"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x")
-    nodes = marks.where("set_key IS NOT NULL").groupBy("set_key").agg(first)
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("x.doc_id").alias("first"), "x.n_shingles", "x.bands", "x.sketch"), "nodes")
-    linker = _Linker(own, nodes, n, percent)
-    rows = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = stored(rows.groupBy("key").count().where("count > 1").select("key"), "shared-bands")
-    rows = stored(rows.join(small_side(shared, IDS_BROADCAST), "key"), "buckets")
-
-    near = stored(linker.near(_with_smallest(rows)), "near")
-    linker.confirm(near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")))
-    linker.confirm(linker.across(near))
-
-    keys = linker.mixed(rows)
-    of = lambda which: rows.join(small_side(keys.where(which).select("key"), IDS_BROADCAST), "key")
-    linker.confirm(_few(linker, of(F.col("members") <= small)))
-    large = stored(of(F.col("members") > small), "large-buckets")
-    if not large.isEmpty():
-        linker.add(_clusters(linker, large))
-
-    roots = stored(linker.labelled(nodes.select("node", "set_key", "first")), "roots")
-    lowest = stored(roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "lowest")
-    ids = roots.join(small_side(lowest, IDS_BROADCAST), "root", "left").select("set_key", "root", F.coalesce("component_id", "first").alias("component_id"))
-    out = marks.select("doc_id", "n_shingles", "set_key").join(stored(ids, "components"), "set_key", "left")
+    with scratch() as keep:
+        own = docs.select("doc_id", "text")
+        marks = keep(stored(sketches(own, n), "sketches"))
+        first = F.min_by(F.struct("doc_id", "n_shingles", "bands", "sketch"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x")
+        nodes = marks.where("set_key IS NOT NULL").groupBy("set_key").agg(first)
+        nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("x.doc_id").alias("first"), "x.n_shingles", "x.bands", "x.sketch"), "nodes")
+        linker = _Linker(own, nodes, n, percent)
+        rows = nodes.select(F.explode("bands").alias("key"), "node")
+        shared = stored(rows.groupBy("key").count().where("count > 1").select("key"), "shared-bands")
+        rows = stored(rows.join(small_side(shared), "key"), "buckets")
+
+        near = stored(linker.near(_with_smallest(rows)), "near")
+        linker.confirm(near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")))
+        linker.confirm(linker.across(near))
+
+        keys = linker.mixed(rows)
+        of = lambda which: rows.join(small_side(keys.where(which).select("key"), rows=rows_of(keys)), "key")
+        linker.confirm(_few(linker, of(F.col("members") <= small)))
+        large = stored(of(F.col("members") > small), "large-buckets")
+        if rows_of(large):
+            linker.add(_clusters(linker, large))
+
+        roots = stored(linker.labelled(nodes.select("node", "set_key", "first")), "roots")
+        lowest = stored(roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "lowest")
+        ids = roots.join(small_side(lowest), "root", "left").select("set_key", "root", F.coalesce("component_id", "first").alias("component_id"))
+        ids = keep(stored(ids, "components"))
+    out = marks.select("doc_id", "n_shingles", "set_key").join(ids, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"), "set_key", "root")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -294,13 +304,13 @@ def deduplicated(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> D
     """
     rows = stored(_judged(docs, n, percent).select("doc_id", "set_key", "root", "kept"), "judged")
     loose = stored(rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "loose-ids")
-    if loose.isEmpty():
+    if not rows_of(loose):
         dropped = stored(rows.where("NOT kept").select("doc_id"), "dropped")
-        return docs.join(small_side(dropped, IDS_BROADCAST), "doc_id", "left_anti")
+        return docs.join(small_side(dropped), "doc_id", "left_anti")
     dropped = stored(rows.where("NOT kept").select("doc_id").unionByName(loose).where("doc_id IS NOT NULL").distinct(), "dropped")
-    own = docs.where("doc_id IS NOT NULL").join(small_side(dropped, IDS_BROADCAST), "doc_id", "left_anti")
+    own = docs.where("doc_id IS NOT NULL").join(small_side(dropped), "doc_id", "left_anti")
 
-    ids = small_side(loose, IDS_BROADCAST)
+    ids = small_side(loose)
     among = rows.where("kept AND set_key IS NOT NULL").withColumnRenamed("doc_id", "id").join(ids, F.col("id").eqNullSafe(ids["doc_id"]), "left_semi")
     stays = stored(among.groupBy("root").agg(F.min(F.struct("set_key", "id")).alias("x")).select("x.*"), "staying")
     others = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
@@ -308,12 +318,12 @@ def deduplicated(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> D
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = pa.array([_key(shingles(t.as_py(), n)) for t in b.column("text")], pa.string())
+            keys = pa.array([_key(shingles(t.as_py(), n)) for t in b.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, keys], [*b.schema.names, "set_key"])
 
-    schema = StructType([*others.schema.fields, StructField("set_key", StringType())])
+    schema = StructType([*others.schema.fields, StructField("set_key", BinaryType())])
     others = stored(others.mapInArrow(lean(keyed), schema), "told-by-set")
-    side = small_side(stays.select(F.col("set_key").alias("k"), F.col("id").alias("i")), IDS_BROADCAST)
+    side = small_side(stays.select(F.col("set_key").alias("k"), F.col("id").alias("i")))
     found = others.join(side, (F.col("set_key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
     found = found.groupBy("set_key", "id").agg(F.min_by("row", "text").alias("row")).select("row")
     bare = others.where("set_key IS NULL").select("row")

@@ -74,6 +74,10 @@ def test_null_ids_and_empty_tables(documents, prose):
     docs = documents((None, prose(1)), (None, prose(1)), (5, prose(2)), (None, ""))
     assert found(neardup.near_duplicates(docs)) == sorted([(None, 56, None, True)] * 2 + [(5, 56, 5, True), (None, 0, None, True)], key=str)
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
+    rng = random.Random(1)
+    rows = [(None if i % 3 else i, edited(prose(i % 5, 60), rng, i % 4)) for i in range(40)] + [(None, edited(prose(77, 60), rng, 2)) for _ in range(4)]
+    want = plain(rows, 5, 80)
+    assert len({r[2] for r in want}) > 4 and found(neardup.near_duplicates(documents(*rows))) == want
     kept = neardup.deduplicated(documents((2, prose(1)), (1, prose(1)), (3, prose(2)), (4, None)))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4] and kept.columns == docs.columns
 

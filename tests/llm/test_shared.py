@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import shared
@@ -13,7 +14,18 @@ def test_stored_tables_are_in_the_shared_folder_and_cut_the_lineage(spark):
 def test_only_counted_sides_are_hinted(spark):
     df = shared.stored(spark.range(100), "test")
     plan = lambda d: d._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in plan(shared.small_side(df, 100)) and "broadcast" not in plan(shared.small_side(df, 99))
+    assert "broadcast" in plan(shared.small_side(df, 4000)) and "broadcast" not in plan(shared.small_side(df, 3999))
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    with shared.scratch() as keep:
+        with shared.scratch() as inner:
+            a, b = shared.stored(spark.range(3), "a"), inner(shared.stored(spark.range(4), "b"))
+        c = keep(shared.stored(b.where("id > 0"), "c"))
+    assert c.count() == shared.rows_of(c) == 3 and shared.rows_of(spark.range(7)) == 7
+    for gone in (a, b):
+        with pytest.raises(Exception):  # noqa: B017  what Spark raises for files that are not there
+            gone.collect()
 
 
 def test_words(spark):
