@@ -12,8 +12,8 @@ slices (or, on the way back, more groups) than that, the parts are gathered and
 the other. So the number of rows is in proportion to the windows at every size: `2 * FAN` for each `HELD` of them and digit.
 
 Windows that very many pieces hold (an often repeated passage) are marked in the reply; for them the smallest id is found by a
-partial aggregate and meets their rows in a join by broadcast if the table of these windows is counted to be small, and else
-in parts of each window's documents, so that no task gets all documents of a passage.
+partial aggregate. If the table of these windows is counted to be small, it is broadcast, and each task looks its rows up in it;
+else it meets them in parts of each window's documents. Either way no task gets all documents of a passage.
 
 Null texts have no words, and texts shorter than a window stay as they are. Rows with a null id lose nothing and take nothing
 from others. Rows that repeat an id, with the same text or another, are neither source nor loser to each other. Of documents
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.shared import lean, stored
+from palimpsest.llm.shared import lean, rows_of, scratch, stored
 
 WINDOW = 13
 #: Windows a slice is meant for, and its cells in each of the two rows; characters of a document group; windows held by a task.
@@ -373,17 +373,36 @@ def candidates(docs: DataFrame, replies: DataFrame, slices: int, groups: int, n:
     return a.unionByName(b).repartitionById(tasks, F.pmod("grp", F.lit(tasks))).sortWithinPartitions("grp", "kind").mapInArrow(lean(run), CANDIDATES)
 
 
+def _looked_up(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc_id, tk, places of the rows (h1, h2, doc_id, tk, places) with a smaller id in firsts (h1, h2, first), which is broadcast."""
+    table = firsts.toArrow()
+    h1, h2, first = (table[c].combine_chunks().to_numpy() for c in ("h1", "h2", "first"))
+    order = np.lexsort((h2, h1))
+    sent = rows.sparkSession.sparkContext.broadcast((h1[order], h2[order], first[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h1, h2, first = sent.value
+        for b in batches:
+            x, y, doc_id = (b.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
+            at, end, lost = np.searchsorted(h1, x), np.searchsorted(h1, x, "right"), np.zeros(len(x), bool)
+            while (some := np.flatnonzero(at < end)).size:  # twice only if two windows share h1
+                lost[some] |= (h2[at[some]] == y[some]) & (first[at[some]] < doc_id[some])
+                at[some] += 1
+            yield b.select(["doc_id", "tk", "places"]).filter(pa.array(lost))
+
+    return rows.select("h1", "h2", "doc_id", "tk", "places").mapInArrow(lean(run), "doc_id long, tk long, places array<int>")
+
+
 def _often(rows: DataFrame) -> DataFrame:
     """Candidates of often repeated windows -> doc_id, tk, places of those that a smaller id has too.
 
-    The smallest ids come from a partial aggregate. Their table meets the rows by broadcast if it is small, else each goes to
-    every part of its window's documents, in which case more documents make more parts.
+    The smallest ids come from a partial aggregate. Their table is broadcast if it is small, else each goes to every part of its
+    window's documents, in which case more documents make more parts.
     """
     firsts = stored(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last"), "substr-often")
-    count, most = firsts.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).collect()[0]
-    if 40 * count <= BROADCAST_BYTES:
-        both = rows.join(F.broadcast(firsts), ["h1", "h2"])
-        return both.where("doc_id > first").select("doc_id", "tk", "places")
+    if 20 * rows_of(firsts) <= BROADCAST_BYTES:
+        return _looked_up(rows, firsts.select("h1", "h2", "first"))
+    most = firsts.agg(F.max("n")).collect()[0][0]
     dealt = max(PARTS, most // PART_ROWS)
     firsts = firsts.drop("n").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
     parted = rows.select("h1", "h2", F.pmod(F.xxhash64("doc_id", "tk"), F.lit(dealt)).cast("int").alias("part"), "doc_id", "tk", "places")
@@ -416,15 +435,17 @@ def dedup(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     groups, slices = max(1, -(-chars // GROUP_CHARS)), max(1, -(-windows // SLICE_WINDOWS))
     own = docs.where(doc_id.isNotNull()).select(doc_id.alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
     own = own.select(F.pmod(F.xxhash64("doc_id", "tk"), F.lit(groups)).cast("int").alias("grp"), "doc_id", "tk", "text")
-    parts = _dealt(sketch(own, slices, groups, n), slices, SLICE_CELLS * groups, windows)
-    replies = stored(_dealt(repeated_cells(parts, slices, groups), groups, slices * SLICE_CELLS, windows), "substr-cells")
-    found = stored(candidates(own, replies, slices, groups, n), "substr-windows")
-    smallest = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
-    rare = found.where("NOT often").withColumn("first", smallest).where("doc_id > first").select("doc_id", "tk", "places")
-    often = _often(found.where("often"))
-    # a set, as rows that repeat id and text give the same places again
-    starts = rare.unionByName(often).groupBy("doc_id", "tk").agg(F.array_sort(F.flatten(F.collect_set("places"))).alias("starts"))
-    runs = stored(_runs(starts, n), "substr-runs")
+    with scratch() as keep:
+        with scratch() as kept:
+            parts = _dealt(sketch(own, slices, groups, n), slices, SLICE_CELLS * groups, windows)
+            replies = stored(_dealt(repeated_cells(parts, slices, groups), groups, slices * SLICE_CELLS, windows), "substr-cells")
+            found = kept(stored(candidates(own, replies, slices, groups, n), "substr-windows"))
+        smallest = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
+        rare = found.where("NOT often").withColumn("first", smallest).where("doc_id > first").select("doc_id", "tk", "places")
+        often = _often(found.where("often"))
+        # a set, as rows that repeat id and text give the same places again
+        starts = rare.unionByName(often).groupBy("doc_id", "tk").agg(F.array_sort(F.flatten(F.collect_set("places"))).alias("starts"))
+        runs = keep(stored(_runs(starts, n), "substr-runs"))
     size = runs.agg(F.coalesce(F.sum(F.length("runs") + 40), F.lit(0))).collect()[0][0]
     return _cut(docs, F.broadcast(runs) if size <= BROADCAST_BYTES else runs, n)
 
