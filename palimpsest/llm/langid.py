@@ -9,7 +9,9 @@ only: 256 KB a family, and as much for each pair of languages in one.
 
 A text that is null or has no letter is `und`, with score 0; so is any text if there is nothing to learn from. Null labels
 and null ids are never learned from. With one language all texts with a letter are that, with score 1. Labels are used as
-they are; those not in FAMILIES are families of their own. Rows that repeat are predicted alike.
+they are; those not in FAMILIES are families of their own. Rows that repeat are predicted alike, whatever their ids. Very long texts
+are counted whole, in parts of a bounded size. Of languages with as many votes and margins alike the first by name wins, and of families.
+An empty table gives an empty one. Other columns pass through, whatever they are called; lang_pred and score are replaced.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.shared import lean, small_batches
+from palimpsest.llm.shared import lean, small_batches, stored
 
 #: Language families by ISO 639-1 code.
 FAMILIES = {
@@ -45,6 +47,8 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 #: Rows learned from, but for more languages; rows of a language, at least; bits of a feature's number; passes of the fit.
 SAMPLE, EACH, BITS, EPOCHS, COST = 2400, 16, 16, 12, 4.0
 D = 1 << BITS
+#: Bytes of the sample's features, which the driver fits, for all languages.
+BYTES = 200_000_000
 CHUNK = 1_000_000
 
 _letters: list[np.ndarray] = []
@@ -239,7 +243,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 if (f := features(text.as_py())) is not None:
                     yield pa.RecordBatch.from_pydict({"lang": [lang], "at": [f[0]], "share": [f[1]]}, schema)
 
-    table = drawn.repartition(8).mapInArrow(lean(run), "lang string, at array<int>, share array<float>").toArrow()
+    table = stored(drawn.repartition(8).mapInArrow(lean(run), "lang string, at array<int>, share array<float>"), "langid-sample")
+    # A row has D features at most; of texts so long that the sample of a language takes more than its share of BYTES, fewer are taken.
+    share = Window.partitionBy("lang").orderBy(F.size("at"), F.xxhash64("at", "share")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    table = table.withColumn("taken", F.sum(8 * F.size("at")).over(share)).where(F.col("taken") <= max(8 * D, BYTES // len(counts))).drop("taken").toArrow()
     rows = [(x, np.asarray(a.values), np.asarray(s.values)) for x, a, s in zip(table["lang"].to_pylist(), table["at"], table["share"], strict=True)]
     return fitted(sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
 

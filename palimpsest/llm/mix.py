@@ -5,7 +5,9 @@ Sources in code point order, null last, take the weights in turn. The budget is
 rate r = target / size is emitted floor(r) times, and once more if a hash of its id falls below the fraction of r.
 
 Null texts have size 0; null sources form one source; a source of size 0 has target and rate 0, so its documents are not
-taken. Rows that repeat a doc_id are drawn alike; a null doc_id is drawn by its text. An empty table gives an empty mix.
+taken. Rows that repeat a doc_id are drawn alike; a null doc_id is drawn by its text. Sources with equal ratios of cap and weight
+are taken in the order of their names. A very long text is counted whole, as others are. An empty table gives an empty mix. Other
+columns pass through as fields of `doc`, whatever they are called.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ Scores are whole micronats, so sums don't depend on their order. Characters are
 of 32^4 integers at most, whatever the input: it reaches the rows as one scalar subquery of that fixed size.
 
 Null urls, and those without "://", have an empty host and path, so no rule fits. A null or empty url has score null and is
-allowed, as is every url while either corpus, or its calibration part, is empty.
+allowed, as is every url while either corpus, or its calibration part, is empty. Of rules that fit, the longest by host and path
+together wins, and of equally long ones the last in the order of their texts. Rows that repeat a page_id, or have none, are judged
+each for itself; urls that repeat count as often in the corpora. A very long url is one array of its characters' numbers in one
+task. An empty table gives an empty one. Of other columns than page_id and url none is read, whatever they are called.
 """
 
 from __future__ import annotations

@@ -72,3 +72,54 @@ def test_every_label_is_learned(documents):
     assert model.langs == sorted(words)
     got = [(r["lang"], r["lang_pred"]) for r in langid.identify(docs, model).collect() if r["lang"] >= "x150"]
     assert len(got) == 140 and sum(x == y for x, y in got) >= 0.9 * len(got)
+
+
+def test_predictions_equal_a_plain_version(labelled):
+    """Features by a dictionary, margins by sums, the family first, then votes; with the weights of the model."""
+    from collections import Counter
+
+    def plain_features(t):
+        s = "".join(c.lower() if c.isalpha() else " " for c in "  " + t)
+        out = Counter()
+        for i in range(2, len(s)):
+            if s[i] == s[i - 1] == " ":
+                continue
+            a, b, x = (ord(c) for c in s[i - 2 : i + 1])
+            one, two = x * 2654435761, (b * 1000003 + x + 17) * 2246822519
+            three = (((a * 1000003 + b) % 2**32 * 16777619 + x + 29) % 2**32) * 3266489917
+            out.update(v % 2**32 >> 32 - langid.BITS for v in (one, two, three))
+        return out, sum(out.values()) / 3
+
+    model = langid.fit(labelled)
+    texts = [text(x, 500 + i, 1 + i % 7) for i in range(60) for x in PIECES] + ["a", "the que", "ß 12 ñ!", "und  und"]
+    langs, _ = model.predict(texts)
+    for t, got in zip(texts, langs, strict=True):
+        counts, n = plain_features(t)
+        margin = [sum(c * float(model.weights[k, j]) for k, c in counts.items()) / n + float(model.bias[j]) for j in range(len(model.bias))]
+        family = max(range(len(model.families)), key=lambda f: margin[f])
+        votes = {m: [0, 0.0] for m in model.families[family]}
+        for j, (a, b) in enumerate(model.pairs):
+            if a in votes:
+                own = margin[len(model.families) + j]
+                votes[a if own >= 0 else b][0] += 1
+                votes[a][1] += own
+                votes[b][1] -= own
+        assert got == model.langs[max(votes, key=lambda m: (*votes[m], -m))]
+
+
+def test_enough_passes_reach_the_optimum(monkeypatch):
+    monkeypatch.setattr(langid, "EPOCHS", 2000)
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((60, 8)) + 0.8 * np.sign(np.arange(60) % 2 - 0.5)[:, None]
+    y = np.where(np.arange(60) % 2, 1, -1)
+    w = langid.svm([(np.arange(8), r) for r in x], y)[:8]
+    loss = lambda v: 0.5 * v @ v + langid.COST * np.maximum(0, 1 - y * (x @ v)).sum()
+    # the objective is convex: if nothing near is lower, nothing is
+    best = min(loss(w + s * d) for s in (1e-3, 1e-2, 0.1) for d in rng.standard_normal((200, 8)))
+    assert loss(w) <= best + 1e-3 * loss(w)
+
+
+def test_the_sample_is_bounded_by_bytes(labelled, monkeypatch):
+    monkeypatch.setattr(langid, "BYTES", 0)
+    monkeypatch.setattr(langid, "D", langid.D)
+    assert langid.fit(labelled).langs == sorted(PIECES)

@@ -77,3 +77,19 @@ def test_without_rejected_urls_all_are_allowed(pages):
 
 def test_native_plan(pages):
     assert "Python" not in (plan := u.judge(pages("http://a.com/"))._jdf.queryExecution().toString()) and "Arrow" not in plan
+
+
+def test_null_and_repeated_ids_long_urls_and_other_columns(spark):
+    from pyspark.sql import functions as F
+
+    urls = [(None, "http://a.com/x"), (None, "http://net/es/"), (1, "http://a.com/x"), (1, "http://a.com/x"), (1, "http://b.org/y"), (2, "http://c.org/" + "ab/" * 50_000), (3, None)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    own = df
+    for c in ("host", "path", "fit", "label", "held", "code", "codes", "table", "score", "at", "rule", "verdict"):
+        own = own.withColumn(c, F.lit("own"))
+    key = lambda r: tuple(map(str, r))
+    got = sorted(u.judge(own).collect(), key=key)
+    assert len(got) == 7 and got == sorted(u.judge(df).collect(), key=key)
+    assert [r["verdict"] for r in got if r["host"] == "a.com"] == ["allow"] * 3 and len([r for r in got if r["page_id"] is None]) == 2
+    tied = (("a.com", "/x/", "allow"), ("a.com", "/x/", "block"))
+    assert [r["verdict"] for r in u.judge(df.select("page_id", F.lit("http://a.com/x/").alias("url")), tied).collect()] == ["block"] * 7
