@@ -58,3 +58,24 @@ def test_empty_documents(spark, small, tmp_path):
     sf_dir, _ = small
     spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.lit(False)).write.parquet(str(tmp_path / "none/documents.parquet"))
     assert p.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_odd_rows_and_other_columns(spark, documents, prose, clashing, tmp_path):
+    rows = [(i % 20, prose(i, 60), None if i % 4 else "en", f"s{i % 2}") for i in range(30)]  # ids repeat with other texts
+    rows += [(None, prose(100 + i % 2, 60), "en", None) for i in range(5)] + [(3, prose(3, 60), "en", "s1")] * 3 + [(50, prose(9, 30_000), "en", "s0"), (51, None, None, None), (52, "", "en", "s0"), (None, None, None, None)]
+    docs = clashing(documents(*rows)).selectExpr("*", "'own' AS lang_pred", "'own' AS n_removed", "'own' AS row", "'own' AS __own_2")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    sf_dir, now, seen = str(tmp_path), docs, []
+    for _, stage in p.STAGES[:-1]:
+        now = stage(spark, now, sf_dir)
+        assert now.columns == docs.columns
+        got = now.collect()
+        assert {r["kept"] for r in got} == {"own kept"} and {r["lang_pred"] for r in got} == {"own"} and {r["n_removed"] for r in got} == {"own"}
+        seen.append(got)
+    one, two, three, _ = seen
+    assert len(one) == len(rows) - 3 and all(r["lang"] for r in one)
+    assert sorted(r["text"] for r in two) == sorted({r["text"] for r in one})  # one row of each text, whatever its id
+    assert {r["text"][:50] for r in two if r["doc_id"] is None} == {prose(100 + i, 60)[:50] for i in range(2)}
+    assert max(len(r["text"]) for r in three) > 100_000
+    out = p.run(spark, sf_dir)
+    assert out.columns == ["doc_id", "source", "lang", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == len(seen[3])
