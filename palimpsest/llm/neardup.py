@@ -8,8 +8,9 @@
 Band buckets are not expanded into all pairs. First each member meets its bucket's smallest node, its nearest such pair
 first: most near copies then are one component, and no pair within a component is looked at again. Buckets still of several
 components follow. Those of a few members give their pairs across components. Larger ones that share members make a cluster;
-its nodes outside its largest component are a query set that goes against all its nodes in blocks of bounded size, where
-sketches are compared first and full sets then, and each query gives one link for each component that it finds. So no bucket
+its nodes outside its largest component are a query set that goes against all its nodes in blocks of bounded size: with their
+sketches alone first, of which each query's nearest in each other component is confirmed, and then, where near ones of other
+components are left, with full sets, when each query gives one link for each component that it finds. So no bucket
 is capped, and what is lost is what banding loses: at a similarity of exactly 0.8 three pairs in a million, less above.
 
 Lower case is of A-Z only. A text with fewer words than a shingle has the sequence of them all as its one shingle; without words,
@@ -215,45 +216,83 @@ def _few(linker: _Linker, rows: DataFrame) -> DataFrame:
     return a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & linker.fits()).select("a", "b").distinct()
 
 
-def _clusters(linker: _Linker, rows: DataFrame) -> DataFrame:
-    """rows (key, node) of large buckets of several components -> links (a, b), at least one for each two components that have any.
+def _meet(linker: _Linker, nodes: DataFrame, columns: tuple[str, ...], found, schema: str) -> DataFrame:
+    """found(cluster, asks, table) for blocks of about BLOCK nodes (cluster, node, ...) of clusters of several components.
 
-    Each cluster's nodes outside its largest component meet all its nodes, both in blocks of about BLOCK nodes.
+    A cluster's nodes outside its largest component (they ask) meet all its nodes, both in blocks.
     """
-    cluster = stored(components(_with_smallest(rows)).withColumnRenamed("root", "cluster"), "clusters")
-    nodes = stored(linker.labelled(cluster), "cluster-nodes")
+    nodes = stored(linker.labelled(nodes), "cluster-nodes")
     sizes = nodes.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most"))
-    sizes = stored(sizes.where("members > most"), "cluster-sizes")
-    nodes = nodes.join(small_side(sizes), "cluster").join(linker.sets(nodes.select("node"), rows_of(nodes)), "node").join(linker.nodes.select("node", "sketch"), "node")
+    nodes = nodes.join(small_side(stored(sizes.where("members > most"), "cluster-sizes")), "cluster").join(linker.nodes.select("node", "sketch", "n_shingles"), "node")
     blocks, queries = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ("node", "root", "sketch", "set")
+    columns = ("node", "root", "sketch", "n_shingles", *columns)
     all_of = nodes.select("cluster", place(blocks).alias("block"), every(queries).alias("query"), F.lit(False).alias("asks"), *columns)
     asking = nodes.where("root <> main").select("cluster", every(blocks).alias("block"), place(queries).alias("query"), F.lit(True).alias("asks"), *columns)
     percent, most_apart = linker.percent, furthest(linker.percent)
 
-    def links(table: pa.Table) -> pa.Table:
-        asks = np.asarray(table["asks"])
-        node, root = (np.asarray(table[c]) for c in ("node", "root"))
+    def run(table: pa.Table) -> pa.Table:
+        asks, node, root, size = (np.asarray(table[c]) for c in ("asks", "node", "root", "n_shingles"))
         sketch = np.stack([np.asarray(x.values).view(np.uint64) for x in table["sketch"]])
-        sets = [np.asarray(x.values).view(np.uint64) for x in table["set"]]
-        size = np.array([len(x) for x in sets])
-        rest, out = np.flatnonzero(~asks), []
+        rest = np.flatnonzero(~asks)
+        near = []
         for q in np.flatnonzero(asks):
-            may = rest[(root[rest] != root[q]) & (np.bitwise_count(sketch[rest] ^ sketch[q]).sum(1) <= most_apart)]
-            linked = set()
-            for m in may.tolist():
-                if root[m] not in linked and 100 * min(size[m], size[q]) >= percent * max(size[m], size[q]):
-                    spot = np.minimum(np.searchsorted(sets[q], sets[m]), size[q] - 1)
+            apart = np.bitwise_count(sketch[rest] ^ sketch[q]).sum(1)
+            alike = 100 * np.minimum(size[rest], size[q]) >= percent * np.maximum(size[rest], size[q])
+            at = np.flatnonzero((root[rest] != root[q]) & (apart <= most_apart) & alike)
+            if len(at):
+                near.append((q, rest[at], apart[at]))
+        return found(table, node, root, near)
+
+    return all_of.unionByName(asking).groupBy("cluster", "block", "query").applyInArrow(run, schema)
+
+
+def _clusters(linker: _Linker, rows: DataFrame) -> None:
+    """rows (key, node) of large buckets of several components: adds links, at least one for each two components that have any.
+
+    Only sketches meet at first: each node's nearest one of each other component is confirmed, which joins most of what belongs
+    together. The nodes that still have a near one in another component then meet once more, with their full sets.
+    """
+    cluster = stored(components(_with_smallest(rows)).withColumnRenamed("root", "cluster"), "clusters")
+    ints = lambda x: pa.array(np.array(x, np.int64))
+
+    def nearest(_, node: np.ndarray, root: np.ndarray, near: list) -> pa.Table:
+        out = []
+        for q, at, apart in near:
+            order = np.lexsort((node[at], apart, root[at]))
+            first = order[np.append(True, np.diff(root[at][order]) != 0)]
+            out += zip([node[q]] * len(first), node[at[first]].tolist(), root[at[first]].tolist(), apart[first].tolist(), strict=True)
+        return pa.table({c: ints([x[k] for x in out]) for k, c in enumerate(("a", "b", "root", "apart"))})
+
+    near = _meet(linker, cluster, (), nearest, "a long, b long, root long, apart long")
+    linker.confirm(near.groupBy("a", "root").agg(F.min_by("b", F.struct("apart", "b")).alias("b")))
+
+    def any_near(table: pa.Table, node: np.ndarray, root: np.ndarray, near: list) -> pa.Table:
+        own = np.unique(np.concatenate([np.append(node[at], node[q]) for q, at, _ in near])) if near else np.zeros(0, np.int64)
+        return pa.table({"cluster": ints([table["cluster"][0].as_py()] * len(own)), "node": ints(own)})
+
+    left = stored(_meet(linker, cluster, (), any_near, "cluster long, node long").distinct(), "cluster-left")
+    if not rows_of(left):
+        return
+    percent = linker.percent
+
+    def linked(table: pa.Table, node: np.ndarray, root: np.ndarray, near: list) -> pa.Table:
+        sets, out = [np.asarray(x.values).view(np.uint64) for x in table["set"]], []
+        for q, at, _ in near:
+            done = set()
+            for m in at.tolist():
+                if root[m] not in done:
+                    spot = np.minimum(np.searchsorted(sets[q], sets[m]), len(sets[q]) - 1)
                     both = int((sets[q][spot] == sets[m]).sum())
-                    if 100 * both >= percent * (size[m] + size[q] - both):
-                        linked.add(root[m])
+                    if 100 * both >= percent * (len(sets[m]) + len(sets[q]) - both):
+                        done.add(root[m])
                         out.append((node[q], node[m]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+        return pa.table({"a": ints([x for x, _ in out]), "b": ints([x for _, x in out])})
 
-    return all_of.unionByName(asking).groupBy("cluster", "block", "query").applyInArrow(links, "a long, b long")
+    whole = left.join(linker.sets(left.select("node"), rows_of(left)), "node")
+    linker.add(_meet(linker, whole, ("set",), linked, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small: int = SMALL_BUCKET) -> DataFrame:
@@ -283,7 +322,7 @@ def _judged(docs: DataFrame, n: int, percent: int, small: int = SMALL_BUCKET) ->
         linker.confirm(_few(linker, of(F.col("members") <= small)))
         large = stored(of(F.col("members") > small), "large-buckets")
         if rows_of(large):
-            linker.add(_clusters(linker, large))
+            _clusters(linker, large)
 
         roots = stored(linker.labelled(nodes.select("node", "set_key", "first")), "roots")
         lowest = stored(roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "lowest")
