@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import pattern, vocabulary
-from palimpsest.llm.shared import held, lean, shared_dir, stored
+from palimpsest.llm.shared import held, lean, scratch, shared_dir, stored
 
 VOCABULARY, LENGTH, PER_SHARD, KEY, ROUNDS = "byte_bpe_50k.tiktoken", 1024, 4096, "order-1", 6
 #: Tasks that write shards, at most.
@@ -72,6 +72,19 @@ def _encoding(ranks: bytes, pat: str):
     return held(("slots", hashlib.sha256(ranks + pat.encode()).hexdigest()), make)
 
 
+def _pack():
+    """A quick compressor of bytes: ids take two thirds of their room in what is stored between."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+
+
+def _unpack():
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress
+
+
 @dataclass(frozen=True)
 class Stream:
     """The documents' ids one after the other: a stored table (doc_id, n, ids, start) and what follows from its sums."""
@@ -93,7 +106,7 @@ class Stream:
 
 
 def stream(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Stream:
-    """Encodes docs (doc_id, text) in their order; start is the number of ids before a document's own."""
+    """Encodes docs (doc_id, text) in their order; start is the number of ids before a document's own. ids are packed by _pack."""
     if path is None:
         import public_tokenizers
 
@@ -104,12 +117,12 @@ def stream(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> St
     ranks = docs.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, at = _encoding(ranks.value, pat), 0
+        encoding, at, pack = _encoding(ranks.value, pat), 0, _pack()
         for b in batches:
             rows, held = [], 0
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids = np.array([*encoding.encode_ordinary(text.as_py() or ""), end], kind)
-                rows.append((doc_id, len(ids), at, ids.tobytes()))
+                rows.append((doc_id, len(ids), at, pack(ids.tobytes())))
                 at, held = at + len(ids), held + len(ids)
                 if held > 2_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -146,6 +159,7 @@ def _pieces(s: Stream, key: str) -> DataFrame:
     schema = pa.schema([("slot", pa.int64()), ("off", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unpack()
         for b in batches:
             number, off, ids, held = [], [], [], 0
 
@@ -154,7 +168,7 @@ def _pieces(s: Stream, key: str) -> DataFrame:
                 return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(off, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
             for start, own in zip(b.column("start").to_pylist(), b.column("ids"), strict=True):
-                own = own.as_py()
+                own = unpack(own.as_py())
                 at, low = start, 0
                 while low < len(own):
                     size = min((length - at % length) * wide, len(own) - low)
@@ -220,21 +234,27 @@ def token_slots(docs: DataFrame, folder: str | None = None, key: str = KEY, per_
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/palimpsest/shards-{uuid.uuid4().hex}"
-    s = stream(docs, path, length)
-    _write(ordered(s, key, per_shard), folder)
+    with scratch() as keep:
+        with scratch() as kept:  # what one step reads goes before the next one writes: the ids are on disk two or three times at most
+            s = stream(docs, path, length)
+            number = F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("n") - 1) / length)))
+            # a sequence holds at most `length` documents, as each has an end id
+            names = s.table.select("start", "doc_id", number.alias("number")).groupBy("number").agg(F.array_sort(F.collect_list(F.struct("start", "doc_id"))).alias("docs"))
+            names = names.select(_slot(s.count, key)("number").alias("slot"), F.least(F.lit(length), F.lit(s.tokens) - F.col("number") * length).cast("long").alias("n_tokens"), F.col("docs.doc_id").alias("doc_ids"))
+            names = keep(kept(stored(names, "token-names")))
+            # A row is a shard, so that sizes have to be looked at after each.
+            each = {"parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "compression": "zstd"}
+            whole = kept(stored(_whole(ordered(s, key, per_shard)), "token-shards", **each))
+        _write(whole, folder)
     there = _files(spark, folder).agg(F.sum(F.expr(f"length div {s.stride}"))).first()[0] or 0
     if there != s.count:
         raise OSError(f"{folder} holds {there} of {s.count} records")
-    number = F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("n") - 1) / length)))
-    # a sequence holds at most `length` documents, as each has an end id
-    names = s.table.select("start", "doc_id", number.alias("number")).groupBy("number").agg(F.array_sort(F.collect_list(F.struct("start", "doc_id"))).alias("docs"))
-    names = names.select(_slot(s.count, key)("number").alias("slot"), F.least(F.lit(length), F.lit(s.tokens) - F.col("number") * length).cast("long").alias("n_tokens"), F.col("docs.doc_id").alias("doc_ids"))
     out = names.join(_records(spark, folder, s.stride, per_shard), "slot")
     return out.select("slot", F.col("shard").alias("shard", metadata={"folder": folder}), "offset", "n_tokens", "doc_ids", "record_sha256")
 
 
-def _write(rows: DataFrame, folder: str) -> None:
-    """One text file a shard, of one line: its records, then a line feed. Spark's writer takes every path that Spark takes."""
+def _whole(rows: DataFrame) -> DataFrame:
+    """What ordered() returns -> shard, content: a row a shard, its records one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_shard, parts = None, []
@@ -249,9 +269,13 @@ def _write(rows: DataFrame, folder: str) -> None:
         if parts:
             yield made()
 
-    whole = rows.select("shard", "record").mapInArrow(lean(run), "shard long, content binary")
-    whole = whole.select("shard", F.col("content").cast("string").alias("content"))
-    whole.write.mode("overwrite").partitionBy("shard").text(folder, compression="none", lineSep="\n")
+    return rows.select("shard", "record").mapInArrow(lean(run), "shard long, content binary")
+
+
+def _write(whole: DataFrame, folder: str) -> None:
+    """One text file a shard, of one line: its records, then a line feed. Spark's writer takes every path that Spark takes."""
+    text = whole.select("shard", F.col("content").cast("string").alias("content"))
+    text.write.mode("overwrite").partitionBy("shard").text(folder, compression="none", lineSep="\n")
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -282,7 +306,7 @@ def write_shards(rows: DataFrame, folder: str) -> DataFrame:
     bytes and sha256 are without the line feed at its end.
     """
     stride = (rows.select(F.length("record")).first() or [1])[0]
-    _write(rows, folder)
+    _write(_whole(rows), folder)
     data = F.expr("substring(content, 1, cast(length AS int))")
     return _files(rows.sparkSession, folder).select("shard", "path", F.expr(f"length div {stride}").alias("records"), F.col("length").alias("bytes"), F.sha2(data, 256).alias("sha256"))
 
