@@ -320,7 +320,10 @@ CANDIDATES = "h1 long, h2 int, doc_id long, tk long, places array<int>, often bo
 
 
 def candidates(docs: DataFrame, replies: DataFrame, slices: int, groups: int, n: int = WINDOW) -> DataFrame:
-    """The windows of docs (grp, doc_id, tk, text) that the sketches say may be repeated: once a document, with their places."""
+    """The windows of docs (grp, doc_id, tk, text) that the sketches say may be repeated: once a document, with their places.
+
+    Rows that repeat id and text are one document, so that none is held more than once from here on.
+    """
     nothing = lambda kind: F.lit(None).cast(kind)
     a = replies.select(F.col("part").cast("int").alias("grp"), F.lit(0).alias("kind"), nothing("long").alias("doc_id"), nothing("long").alias("tk"), nothing("string").alias("text"), "row", "listed", "more")
     b = docs.select("grp", F.lit(1).alias("kind"), "doc_id", "tk", "text", nothing("int").alias("row"), nothing("binary").alias("listed"), nothing("binary").alias("more"))
@@ -348,7 +351,7 @@ def candidates(docs: DataFrame, replies: DataFrame, slices: int, groups: int, n:
         return pa.RecordBatch.from_arrays([*map(pa.array, (w[one].view(np.int64), h2, ids, tks)), lists, pa.array(often)], ["h1", "h2", "doc_id", "tk", "places", "often"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grp, found, held, size = None, _Found(), [], 0
+        grp, found, held, size, last = None, _Found(), [], 0, None
         for batch in batches:
             rows = {c: batch.column(c) for c in ("text", "listed", "more")}
             light = zip(*(batch.column(c).to_pylist() for c in ("grp", "kind", "doc_id", "tk", "row")), strict=True)
@@ -362,6 +365,9 @@ def candidates(docs: DataFrame, replies: DataFrame, slices: int, groups: int, n:
                 if kind == 0:
                     found.add(row, rows["listed"][i].as_py(), rows["more"][i].as_py())
                     continue
+                if last == (doc_id, tk):  # a row that repeats id and text
+                    continue
+                last = (doc_id, tk)
                 words = rows["text"][i].as_py().encode("utf-8", "surrogatepass").split()
                 if len(words) >= n:
                     held.append((doc_id, tk, words))
@@ -370,11 +376,14 @@ def candidates(docs: DataFrame, replies: DataFrame, slices: int, groups: int, n:
             yield out
 
     tasks = min(groups, TASKS)
-    return a.unionByName(b).repartitionById(tasks, F.pmod("grp", F.lit(tasks))).sortWithinPartitions("grp", "kind").mapInArrow(lean(run), CANDIDATES)
+    return a.unionByName(b).repartitionById(tasks, F.pmod("grp", F.lit(tasks))).sortWithinPartitions("grp", "kind", "doc_id", "tk").mapInArrow(lean(run), CANDIDATES)
 
 
 def _looked_up(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """doc_id, tk, places of the rows (h1, h2, doc_id, tk, places) with a smaller id in firsts (h1, h2, first), which is broadcast."""
+    """doc_id, tk, places of the rows (h1, h2, doc_id, tk, places) with a smaller id in firsts (h1, h2, first), which is broadcast.
+
+    A document's rows come one after the other, so their places go into one row, and what is shuffled next is rows of documents.
+    """
     table = firsts.toArrow()
     h1, h2, first = (table[c].combine_chunks().to_numpy() for c in ("h1", "h2", "first"))
     order = np.lexsort((h2, h1))
@@ -383,12 +392,17 @@ def _looked_up(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2, first = sent.value
         for b in batches:
-            x, y, doc_id = (b.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
+            x, y, doc_id, tk = (b.column(c).to_numpy() for c in ("h1", "h2", "doc_id", "tk"))
             at, end, lost = np.searchsorted(h1, x), np.searchsorted(h1, x, "right"), np.zeros(len(x), bool)
             while (some := np.flatnonzero(at < end)).size:  # twice only if two windows share h1
                 lost[some] |= (h2[at[some]] == y[some]) & (first[at[some]] < doc_id[some])
                 at[some] += 1
-            yield b.select(["doc_id", "tk", "places"]).filter(pa.array(lost))
+            if lost.any():
+                doc_id, tk, places = doc_id[lost], tk[lost], b.column("places").filter(pa.array(lost))
+                first = np.flatnonzero(np.append(True, (doc_id[1:] != doc_id[:-1]) | (tk[1:] != tk[:-1])))
+                ends = np.append(0, np.cumsum(places.value_lengths().to_numpy()))
+                merged = pa.ListArray.from_arrays(pa.array(ends[np.append(first, len(doc_id))].astype(np.int32)), places.flatten())
+                yield pa.RecordBatch.from_arrays([pa.array(doc_id[first]), pa.array(tk[first]), merged], ["doc_id", "tk", "places"])
 
     return rows.select("h1", "h2", "doc_id", "tk", "places").mapInArrow(lean(run), "doc_id long, tk long, places array<int>")
 
@@ -443,8 +457,7 @@ def dedup(docs: DataFrame, n: int = WINDOW) -> DataFrame:
         smallest = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
         rare = found.where("NOT often").withColumn("first", smallest).where("doc_id > first").select("doc_id", "tk", "places")
         often = _often(found.where("often"))
-        # a set, as rows that repeat id and text give the same places again
-        starts = rare.unionByName(often).groupBy("doc_id", "tk").agg(F.array_sort(F.flatten(F.collect_set("places"))).alias("starts"))
+        starts = rare.unionByName(often).groupBy("doc_id", "tk").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("starts"))
         runs = keep(stored(_runs(starts, n), "substr-runs"))
     size = runs.agg(F.coalesce(F.sum(F.length("runs") + 40), F.lit(0))).collect()[0][0]
     return _cut(docs, F.broadcast(runs) if size <= BROADCAST_BYTES else runs, n)
