@@ -36,10 +36,10 @@ from palimpsest.llm.shared import held, lean, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Rows that one recursive query may make; characters of text held as pieces at once; pieces whose ids are kept.
-STEP_ROWS, BLOCK_CHARS, KEPT_PIECES = 1_000_000, 1_000_000, 350_000
+STEP_ROWS, BLOCK_CHARS, KEPT_PIECES = 2_000_000, 1_000_000, 600_000
 #: Bytes of a word at first; words of a piece that may move its borders, for each word it has, before its words are made longer.
 WORD, ROUNDS = 32, 4
-DUCKDB_MEMORY = "150MB"
+DUCKDB_MEMORY = "250MB"
 
 #: One contraction a word: its lowest rank, of these the leftmost position, and the position that goes, in one number. Word and
 #: position, which has 20 bits, are one number too, so that neighbours come from a sort by one key.
@@ -120,16 +120,16 @@ class Codec:
                 yield at, flat[i:j]
             word, pos, token = (np.asarray(got[k])[~done].astype(np.int32) for k in ("word", "pos", "token"))
 
-    def contracted(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+    def contracted(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of the words."""
-        found, words = {}, sorted(words, key=len)  # words of a length need about as many steps
+        found = [b""] * len(words)
         lens = np.fromiter(map(len, words), np.int64, len(words))
-        batch = np.cumsum(lens**2 // 2) // STEP_ROWS
-        for own in np.split(np.arange(len(words)), np.flatnonzero(np.diff(batch)) + 1):
-            if len(own):
-                some = words[own[0] : own[-1] + 1]
-                for at, ids in self._contracted(some):
-                    found[some[at]] = ids
+        order = np.argsort(lens, kind="stable")  # words of a length need about as many steps
+        batch = np.cumsum(lens[order] ** 2 // 2) // STEP_ROWS
+        for own in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
+            own = own.tolist()
+            for at, ids in self._contracted([words[i] for i in own]) if own else ():
+                found[own[at]] = ids
         return found
 
     def _joined(self, pieces: list[list[list[int]]]) -> None:
@@ -140,16 +140,16 @@ class Codec:
         size, rounds, todo = [WORD] * len(pieces), [0] * len(pieces), list(range(len(pieces)))
         while todo:
             asked = {(p[i][-1], p[i + 1][0]) for n in todo for p in (pieces[n],) for i, h in enumerate(holds[n]) if not h}
-            both = {x: self.bytes[x[0]] + self.bytes[x[1]] for x in asked if x not in known}
-            alone = self.contracted(set(both.values()))
-            for x, raw in both.items():
-                known[x] = alone[raw] == np.array(x, "<u4").tobytes()
+            new = [x for x in asked if x not in known]
+            for x, ids in zip(new, self.contracted([self.bytes[a] + self.bytes[b] for a, b in new]), strict=True):
+                known[x] = ids == np.array(x, "<u4").tobytes()
             for n in todo:
                 pieces[n], holds[n] = self._moved(pieces[n], holds[n], size[n], known, seen)
                 rounds[n] += 1
                 if rounds[n] > 20 + ROUNDS * len(pieces[n]):
                     size[n], rounds[n] = min(2 * size[n], _MASK // 4), 0
-            for w, ids in self.contracted({w for n in todo for w in pieces[n] if isinstance(w, bytes)}).items():
+            raw = list({w for n in todo for w in pieces[n] if isinstance(w, bytes)})
+            for w, ids in zip(raw, self.contracted(raw), strict=True):
                 seen[w] = np.frombuffer(ids, "<u4").tolist()
             for n in todo:
                 pieces[n] = [seen[w] if isinstance(w, bytes) else w for w in pieces[n]]
@@ -194,27 +194,24 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of pieces into kept."""
-        if len(self.kept) + len(pieces) > KEPT_PIECES:
-            self.kept.clear()
-        new, cut, words = [], [], set()
-        for p in pieces:
-            if p in self.kept:
-                continue
-            raw = p.encode("utf-8", "surrogatepass")
-            if (whole := self.ranks.get(raw)) is not None:
-                self.kept[p] = whole.to_bytes(4, "little")
-                continue
-            new.append(p)
-            cut.append([raw[i : i + WORD] for i in range(0, len(raw), WORD)])
-            words.update(cut[-1])
-        ids = self.contracted(words)
-        long = [n for n, c in enumerate(cut) if len(c) > 1]
-        joined = [[np.frombuffer(ids[w], "<u4").tolist() for w in cut[n]] for n in long]
+        new = list(pieces.difference(self.kept))
+        if len(self.kept) + len(new) > KEPT_PIECES:  # those in use stay
+            self.kept = {p: self.kept[p] for p in pieces.intersection(self.kept)}
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        whole = list(map(self.ranks.get, raw))
+        self.kept.update((p, r.to_bytes(4, "little")) for p, r in zip(new, whole, strict=True) if r is not None)
+        short = [i for i, (b, r) in enumerate(zip(raw, whole, strict=True)) if r is None and len(b) <= WORD]
+        self.kept.update(zip([new[i] for i in short], self.contracted([raw[i] for i in short]), strict=True))
+        long = [i for i, (b, r) in enumerate(zip(raw, whole, strict=True)) if r is None and len(b) > WORD]
+        if not long:
+            return
+        cut = [[raw[i][k : k + WORD] for k in range(0, len(raw[i]), WORD)] for i in long]
+        words = list(set(itertools.chain.from_iterable(cut)))
+        ids = dict(zip(words, self.contracted(words), strict=True))
+        joined = [[np.frombuffer(ids[w], "<u4").tolist() for w in c] for c in cut]
         self._joined(joined)
-        for n, p in enumerate(new):
-            self.kept[p] = ids[cut[n][0]]
-        for n, tokens in zip(long, joined, strict=True):
-            self.kept[new[n]] = np.array(list(itertools.chain.from_iterable(tokens)), "<u4").tobytes()
+        for i, tokens in zip(long, joined, strict=True):
+            self.kept[new[i]] = np.array(list(itertools.chain.from_iterable(tokens)), "<u4").tobytes()
 
     def blocks(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, bytes]]]:
         """Lists of (index of the text, ids of the next part of it), in order; each text has at least one part."""
