@@ -398,11 +398,11 @@ def _looked_up(rows: DataFrame, firsts: DataFrame) -> DataFrame:
                 lost[some] |= (h2[at[some]] == y[some]) & (first[at[some]] < doc_id[some])
                 at[some] += 1
             if lost.any():
-                doc_id, tk, places = doc_id[lost], tk[lost], b.column("places").filter(pa.array(lost))
-                first = np.flatnonzero(np.append(True, (doc_id[1:] != doc_id[:-1]) | (tk[1:] != tk[:-1])))
+                ids, tks, places = doc_id[lost], tk[lost], b.column("places").filter(pa.array(lost))
+                new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (tks[1:] != tks[:-1])))
                 ends = np.append(0, np.cumsum(places.value_lengths().to_numpy()))
-                merged = pa.ListArray.from_arrays(pa.array(ends[np.append(first, len(doc_id))].astype(np.int32)), places.flatten())
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id[first]), pa.array(tk[first]), merged], ["doc_id", "tk", "places"])
+                merged = pa.ListArray.from_arrays(pa.array(ends[np.append(new, len(ids))].astype(np.int32)), places.flatten())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(tks[new]), merged], ["doc_id", "tk", "places"])
 
     return rows.select("h1", "h2", "doc_id", "tk", "places").mapInArrow(lean(run), "doc_id long, tk long, places array<int>")
 

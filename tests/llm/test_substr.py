@@ -50,13 +50,15 @@ def test_often_repeated_windows_and_small_groups(documents, prose, monkeypatch):
 
 
 @pytest.mark.parametrize("broadcast", [32_000_000, 0])
-def test_many_slices_and_groups_are_dealt_by_digits(documents, prose, monkeypatch, broadcast):
+def test_many_slices_and_groups_are_dealt_by_digits(spark, documents, prose, monkeypatch, broadcast):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     # Five slices or more and as many groups by threes: two or three dealings each way; often repeated windows in parts.
     for name, value in {"FAN": 3, "SLICE_WINDOWS": 60, "GROUP_CHARS": 400, "HELD": 50, "OFTEN": 4, "BROADCAST_BYTES": broadcast, "PARTS": 2, "PART_ROWS": 3}.items():
         monkeypatch.setattr(substr, name, value)
     assert substr.widths(1) == [1] and substr.widths(3) == [1] and substr.widths(4) == [3, 1] and substr.widths(10) == [9, 3, 1]
     rows = [(i, f"{prose(i, 12)} {prose(7, 25)} {prose(-i, 5)}") for i in range(20)] + [(50 + i, prose(i, 40)) for i in range(9)] + [(80 + i, prose(3, 40)) for i in range(9)]
     check(documents, rows + [(81, prose(3, 40))] * 3 + [(None, prose(3, 40)), (90, None)], 13)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_copies_go_through_the_sketch(documents, prose):
