@@ -8,6 +8,8 @@ import struct
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.codec import once
+
 #: Fixed values of the hashes.
 M32 = 0xFFFFFFFF
 FNV_BASIS, FNV_PRIME, GOLDEN = 0x811C9DC5, 0x01000193, 0x9E3779B9
@@ -31,15 +33,10 @@ def _times(x: Column, c: int) -> Column:
     return (low + high).bitwiseAND(F.lit(M32))
 
 
-def _once(x: Column, f) -> Column:
-    """f(x) with x worked out once, as a variable of an array of one."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def _finish(x: Column) -> Column:
     steps = (lambda v: v.bitwiseXOR(F.shiftright(v, 16)), lambda v: _times(v, MIX_1), lambda v: v.bitwiseXOR(F.shiftright(v, 13)), lambda v: _times(v, MIX_2), lambda v: v.bitwiseXOR(F.shiftright(v, 16)))
     for step in steps:
-        x = _once(x, step)
+        x = once(x, step)
     return x
 
 
@@ -56,7 +53,7 @@ def hashes(key: Column) -> tuple[Column, Column]:
     fnv = lambda a, b: (a.bitwiseXOR(b) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(M32))
     turned = lambda a: (F.shiftleft(a, 5).bitwiseOR(F.shiftright(a, 27))).bitwiseAND(F.lit(M32))
     one = F.aggregate(_bytes(key), F.lit(FNV_BASIS).cast("long"), fnv)
-    two = F.aggregate(_bytes(key), F.lit(FNV_BASIS ^ GOLDEN).cast("long"), lambda a, b: _once(fnv(a, b), turned))
+    two = F.aggregate(_bytes(key), F.lit(FNV_BASIS ^ GOLDEN).cast("long"), lambda a, b: once(fnv(a, b), turned))
     return _finish(one), _finish(two)
 
 
@@ -77,7 +74,7 @@ def positions(bits: Column | int, count: Column | int) -> Column:
     bits, count = (F.lit(x) if isinstance(x, int) else x for x in (bits, count))
     # Both hashes are bound to a variable first: named within the inner function, each would be worked out for each position.
     places = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long")), lambda i: (h["h1"] + i * h["h2"]).bitwiseAND(F.lit(M32)) % bits))
-    return _once(F.struct("h1", "h2"), places)
+    return once(F.struct("h1", "h2"), places)
 
 
 def build(keys: DataFrame, bits: int, count: int, key: str = "key") -> DataFrame:

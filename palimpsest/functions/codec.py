@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def once(x: Column, f) -> Column:
+    """f(x) with x worked out once, as a variable of an array of one: named in f as it is, it would be wherever f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def le_bytes(n: Column, size: int) -> Column:
     """An integer's `size` low bytes, lowest first, as binary."""
     byte = lambda i: F.unhex(F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0"))
@@ -42,6 +47,10 @@ RUN_HEADER = 17
 
 def run_record_fields(data: Column) -> Column:
     """The struct (op, seq, key, value) of a sorted run's record; null if it is not exactly one. Deletions have no value."""
+    return once(data, _fields)
+
+
+def _fields(data: Column) -> Column:
     keys, values = u32le_at(data, 9), u32le_at(data, 13)
     whole = F.coalesce((keys > 0) & (values >= 0) & (F.octet_length(data) == RUN_HEADER + keys + values), F.lit(False))
     op = le_number(data, 0, 1)
