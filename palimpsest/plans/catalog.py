@@ -188,8 +188,8 @@ def live_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(nations, "c_nationkey").select("n_name", "n", F.round("total", 2).alias("balance"))
 
 
-def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A product file of all parts, written and loaded: some have no type, so that a field is short, some a field too many."""
+def _product_file(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of product files of all parts: some have no type, so that a field is short, some a field too many."""
     import uuid
 
     part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
@@ -198,7 +198,28 @@ def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared(spark)}/products-{uuid.uuid4().hex}"
     # A header in each file, as a file that is loaded has one.
     part.select(line.alias("id,name,category,price")).write.options(header=True, sep="\x01", quote="", escape="").csv(folder)
-    return codec.read_products(spark, folder).where("status = 'loaded'").drop("status")
+    return folder
+
+
+def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.read_products(spark, _product_file(spark, sf_dir)).where("status = 'loaded'").drop("status")
+
+
+def cli_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last line that the shell gives for each of some commands over a store of all parts."""
+    import uuid
+
+    from palimpsest.cli import Shell
+
+    shell = Shell(spark, f"{shared(spark)}/shell-{uuid.uuid4().hex}")
+    steps = [("load", _product_file(spark, sf_dir))] + [(x.split()[0], x.partition(" ")[2]) for x in ("list", "find ECONOMY", "get P001", "del P001", "get P001", "put P001 a b 1", "last b", "compact", "snap")]
+    rows = []
+    for i, (command, argument) in enumerate(steps):
+        line = ""
+        for line in shell.run(f"{command} {argument}"):  # noqa: B007  the last one is what is looked at
+            pass
+        rows.append((i, command, line))
+    return spark.createDataFrame(rows, "step int, command string, line string")
 
 
 def product_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +285,18 @@ def store_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(resolve.live(store.log()))
 
 
+def store_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store that was opened anew for each of three batches knows of its runs, and where its sequence stands."""
+    from palimpsest.sources.store import Store
+
+    store = _store(spark, "store")
+    for part in _parts(log(spark, sf_dir), 3):
+        store = Store.open(spark, store.path)
+        store.write(part, order="seq")
+    runs = [(r["n"], r["entries"], r["deletes"], r["min_seq"], r["max_seq"], store.current_seq()) for r in store.manifest().runs]
+    return spark.createDataFrame(runs, "run long, entries long, deletes long, min_seq long, max_seq long, current_seq long")
+
+
 def store_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live view once more, of keys that two writers append at the same time, with a compaction between."""
     from concurrent.futures import ThreadPoolExecutor
@@ -373,9 +406,11 @@ def queries() -> dict:
         "byte_order": byte_order,
         "stream_live": stream_live,
         "store_live": store_live,
+        "store_runs": store_runs,
         "store_two_writers": store_two_writers,
         "store_snapshot": store_snapshot,
         "store_index": store_index,
+        "cli_session": cli_session,
     }
 
 

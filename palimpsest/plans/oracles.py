@@ -99,6 +99,11 @@ SQL = {
     "find_category": f"WITH {_ENCODED} SELECT id, f[1] AS name, f[2] AS category FROM f WHERE f[2] = 'ECONOMY'",
     "range_scan": _over_log("SELECT k, seq, v FROM top WHERE op = 1 AND k >= '10' AND k < '12'"),
     "list_count": _over_log("SELECT count(*) AS n, min(k) AS first_key, max(k) AS last_key FROM top WHERE op = 1"),
+    "cli_session": """WITH l AS (SELECT concat_ws(',', printf('P%03d', p_partkey), p_name, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_type END, printf('%.2f', p_retailprice) || CASE WHEN p_partkey % 11 = 0 THEN ',extra' ELSE '' END) AS line FROM part),
+        f AS (SELECT list_filter(string_split(line, ','), lambda x: x <> '') AS f FROM l), n AS (SELECT count(*) FILTER (WHERE len(f) >= 4) AS loaded, count(*) FILTER (WHERE len(f) < 4) AS bad, count(*) FILTER (WHERE f[3] = 'ECONOMY' AND len(f) >= 4) AS found FROM f)
+        SELECT s.step, s.command, CASE s.step WHEN 0 THEN loaded || ' loaded, ' || bad || ' errors' WHEN 1 THEN loaded || ' found' WHEN 2 THEN found || ' found' WHEN 3 THEN (SELECT f[2] || '|' || f[3] || '|' || f[4] FROM f WHERE f[1] = 'P001')
+        WHEN 4 THEN 'OK' WHEN 5 THEN 'NOT_FOUND' WHEN 6 THEN 'OK' WHEN 7 THEN 'a|b|1' WHEN 8 THEN '1 runs' ELSE loaded || ' found' END AS line
+        FROM n, (VALUES (0, 'load'), (1, 'list'), (2, 'find'), (3, 'get'), (4, 'del'), (5, 'get'), (6, 'put'), (7, 'last'), (8, 'compact'), (9, 'snap')) s(step, command)""",
     "csv_load": """WITH l AS (SELECT concat_ws(',', printf('P%03d', p_partkey), p_name, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_type END, printf('%.2f', p_retailprice) || CASE WHEN p_partkey % 11 = 0 THEN ',extra' ELSE '' END) AS line FROM part),
         f AS (SELECT list_filter(string_split(line, ','), lambda x: x <> '') AS f FROM l)
         SELECT f[1] AS id, f[2] AS name, f[3] AS category, f[4] AS price FROM f WHERE len(f) >= 4""",
@@ -133,6 +138,8 @@ SQL = {
     "byte_order": "SELECT s, encode(s) < encode('m') AS below_m, encode(s) = encode('') AS is_empty, CAST(octet_length(encode(s)) AS BIGINT) AS n_bytes FROM (SELECT DISTINCT unnest([p_name, substr(p_name, 1, 3), '']) AS s FROM part)",
     "stream_live": _over_log("SELECT k, seq, v FROM top WHERE op = 1"),
     "store_live": _over_log("SELECT k, seq, v FROM top WHERE op = 1"),
+    "store_runs": _over_log("""SELECT run, count(*) AS entries, count(*) FILTER (WHERE op = 0) AS deletes, min(seq) AS min_seq, max(seq) AS max_seq, CAST(max(most) AS BIGINT) AS current_seq
+        FROM (SELECT seq, op, most, CASE WHEN seq <= most // 3 THEN 1 WHEN seq <= most * 2 // 3 THEN 2 ELSE 3 END AS run FROM log, (SELECT max(seq) AS most FROM log)) GROUP BY run"""),
     "store_two_writers": _over_log("SELECT k, v FROM top WHERE op = 1"),
     "store_snapshot": f"WITH {_LOG}, s AS (SELECT * FROM log WHERE seq <= (SELECT max(seq) // 2 FROM log)) SELECT k, seq, v FROM ({_latest('s')}) WHERE op = 1",
     "store_index": "SELECT c_name AS secondary, CAST(c_custkey AS VARCHAR) AS prim, c_mktsegment AS v FROM customer WHERE c_acctbal >= 0",
