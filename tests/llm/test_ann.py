@@ -81,6 +81,64 @@ def test_neighbours_come_in_order_of_projected_distance():
         assert np.allclose(d, ((points[rows] - at) ** 2).sum(1))
 
 
+def in_plain_order(v, ids, at, own, k=10, dims=ann.DIMS, sure=ann.SURE):
+    """Distances of the k nearest when neighbours are verified singly, in order of projected distance, with a test before each."""
+    plane, tree, *_ = ann.index(v, dims)
+    bound, best = ann.chi_square_bound(sure, dims), []
+    for far, rows in tree.near(at @ plane):
+        for f, r in zip(far, rows, strict=True):
+            if len(best) == k and f > 1e-9 and f >= bound * best[-1] ** 2:
+                return best
+            if ids[r] != own:
+                best = sorted([*best, np.sqrt(((v[r] - at) ** 2).sum())])[:k]
+    return best
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 1e6])
+def test_queries_together_find_what_each_finds_alone(scale):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.standard_normal((1500, 64)), rng.standard_normal((15, 64))[np.arange(1500) % 15] + 0.1 * rng.standard_normal((1500, 64))])
+    v[rng.permutation(3000)[:100]] = v[0]
+    # lengths that differ much, so that rounding does
+    v[rng.permutation(3000)[:30]] *= 1e5
+    v *= scale
+    asked = np.concatenate([[0], rng.permutation(3000)[:199]])
+    got = {q: (d, n) for q, _, d, n in ann.search(v, np.arange(3000), v[asked], asked, 10)}
+    assert got.keys() == set(range(200))
+    for q, a in enumerate(asked):
+        assert (got[q][0] <= in_plain_order(v, np.arange(3000), v[a], a)).all()
+
+
+@pytest.mark.parametrize("k", [1, 10, 100, 700])
+def test_any_number_of_neighbours(k):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((600, 16))
+    for q, found, d, _ in ann.search(v, np.arange(600), v[:9], np.arange(9), k):
+        true = np.sort(np.delete(np.sqrt(((v - v[q]) ** 2).sum(1)), q))[:k]
+        assert len(set(found.tolist())) == len(d) == min(k, 599) and q not in found
+        assert (d <= true[-1] + 1e-12).mean() >= 0.9
+
+
+def test_vectors_too_large_to_square_are_found():
+    v = np.array([[1e200, 0], [1e200, 1], [-1e200, 1], [3, 4], [3, 5]])
+    for q, found, d, _ in ann.search(v, np.arange(5), v, np.arange(5), 1):
+        assert (q, found[0], d[0]) in {(0, 1, 1.0), (1, 0, 1.0), (3, 4, 1.0), (4, 3, 1.0)} or (q == 2 and d[0] == np.inf)
+
+
+def test_a_block_takes_less_time_than_comparing_all_vectors():
+    from time import process_time
+
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((8192, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    built, took = ann.index(v), []
+    for run in (lambda: list(ann.search(v, np.arange(8192), v[:128], np.arange(128), 10, built=built)), lambda: [np.sort(np.sqrt(((v - x) ** 2).sum(1)))[:10] for x in v[:128]]):
+        start = process_time()
+        run()
+        took.append(process_time() - start)
+    assert took[0] < took[1]
+
+
 def test_columns_may_have_any_names(spark):
     from pyspark.sql import functions as F
 
