@@ -11,8 +11,9 @@ Queries go through a tree in batches of neighbouring ones, so that distances com
 the tree give a query a first bound on the projected distance at which its test holds, the tree leaves out nodes beyond the bounds
 of all of the batch, and the bounds fall as the leaves left, nearest first, are verified by parts that grow. What is within its
 bound is verified for a query: all that comes out before the test holds when neighbours are verified singly, with a test before
-each, and some more. A part's product is made for all queries of the batch and the columns that any of them verifies. Products lose digits, so they give lower and upper bounds
-only, and the distances of all that may be among the k best are computed from the differences.
+each, and some more. A part's product is made for all queries of the batch and the columns that any of them verifies. Products
+lose digits, so they give lower and upper bounds only, and the distances of all that may be among the k best are computed from
+the differences.
 
 A block is built once, by the task that holds it, and all queries stream past it; neither side is broadcast. A block holds about
 `block_rows` vectors, whatever the input. The index holds every vector; nothing is fitted to a sample.
@@ -161,6 +162,7 @@ class Rows:
         part = 4 * (x.shape[1] + 4) * np.finfo(float).eps
         self.slack = 2 * part * square[:, 0]
         self.side = np.hstack([-2 * x, one, square * (1 - part)] if asked else [x, square * (1 - part), one])
+        self.width = x.shape[1]
 
 
 def smallest(who: np.ndarray, x: np.ndarray, best: np.ndarray) -> np.ndarray:
@@ -291,11 +293,14 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, dims: int = DIMS, sure
                 if built is None:
                     vectors, names = (np.concatenate(x) for x in zip(*held, strict=True))
                     built = index(vectors, dims)
+                    # the side of products holds them too
+                    vectors, held = built[-1].side[:, : built[-1].width], [None]
                 for q, found, d, _ in search(vectors, names, own, ids[i:j], k, dims, sure, built):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[i + q])), pa.array(found), pa.array(d)], schema=schema)
 
     # By a number of partitions, which Spark leaves so: it would put many blocks into a task by their bytes, not by the work they make.
-    both = dealt.unionByName(asked).repartition(2 * blocks, "width", "block").sortWithinPartitions("width", "block", "is_query")
+    # In order of ids, as what is verified beyond the test follows from which queries are in a batch: reruns agree.
+    both = dealt.unionByName(asked).repartition(2 * blocks, "width", "block").sortWithinPartitions("width", "block", "is_query", "vec_id", "v")
     found = both.mapInArrow(lean(run), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

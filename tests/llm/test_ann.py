@@ -139,6 +139,22 @@ def test_a_block_takes_less_time_than_comparing_all_vectors():
     assert took[0] < took[1]
 
 
+def test_the_order_of_arrival_changes_nothing(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.standard_normal((4000, 64)))]
+    got, key = [], "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    try:
+        # the queries are stored in one file, then in several
+        for joined in ("true", "false"):
+            spark.conf.set(key, joined)
+            got.append(found(ann.nearest(table(spark, rows), every=4, sure=0.5)))
+            rng.shuffle(rows)
+    finally:
+        spark.conf.set(key, before)
+    assert got[0] == got[1]
+
+
 def test_columns_may_have_any_names(spark):
     from pyspark.sql import functions as F
 
